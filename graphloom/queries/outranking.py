@@ -31,10 +31,10 @@ _ITEMS = """
 WITH last AS (SELECT file, history_score, structure_score, pagerank, betweenness, row_number() OVER (PARTITION BY file ORDER BY generated_at DESC NULLS LAST) AS r
   FROM hotspot_entries WHERE file IS NOT NULL),
 clean AS (SELECT split_part(file, '/', 1) AS repo, file,
-  CASE WHEN history_score IS NULL OR isnan(history_score) THEN '-inf'::DOUBLE ELSE history_score END AS s1,
-  CASE WHEN structure_score IS NULL OR isnan(structure_score) THEN '-inf'::DOUBLE ELSE structure_score END AS s2,
-  CASE WHEN pagerank IS NULL OR isnan(pagerank) THEN '-inf'::DOUBLE ELSE pagerank END AS s3,
-  CASE WHEN betweenness IS NULL OR isnan(betweenness) THEN '-inf'::DOUBLE ELSE betweenness END AS s4
+  CASE WHEN history_score IS NULL OR isnan(history_score) THEN -1e300 ELSE history_score END AS s1,
+  CASE WHEN structure_score IS NULL OR isnan(structure_score) THEN -1e300 ELSE structure_score END AS s2,
+  CASE WHEN pagerank IS NULL OR isnan(pagerank) THEN -1e300 ELSE pagerank END AS s3,
+  CASE WHEN betweenness IS NULL OR isnan(betweenness) THEN -1e300 ELSE betweenness END AS s4
   FROM last WHERE r = 1),
 """
 _POSITION = "rank() OVER (PARTITION BY repo ORDER BY s1 DESC) + rank() OVER (PARTITION BY repo ORDER BY s2 DESC) + rank() OVER (PARTITION BY repo ORDER BY s3 DESC) + rank() OVER (PARTITION BY repo ORDER BY s4 DESC)"
