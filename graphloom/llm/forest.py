@@ -81,7 +81,7 @@ def _search(k: int, at_least: float):
                 stop = min(n, start + BLOCK)
                 left, right = max(0, start - REACH), min(n, stop + REACH)
                 sims = low[start:stop] @ low[left:right].T
-                sims[ids[start:stop, None] == ids[None, left:right]] = -2.0  # itself and its repeated rows
+                sims[np.arange(stop - start), np.arange(start - left, stop - left)] = -2.0
                 most = min(4 * k, right - left)
                 near = np.argpartition(-sims, most - 1, axis=1)[:, :most]
                 exact = np.round(np.einsum("ik,ijk->ij", unit[start:stop], unit[left:right][near]), 6)
@@ -107,7 +107,7 @@ def forest_neighbours(vectors: DataFrame, k: int = 5, at_least: float = -1.0, se
     base = vectors.select("id", "space", F.transform("vec", lambda x: x.cast("float")).alias("vec"))
     hashed = durable(base.mapInPandas(_hasher(seed), _INDEX))
     # Of equal vectors the k + 1 smallest ids are indexed; repeated rows of an id are copies as well.
-    crowded = durable(hashed.df.groupBy("space", "copy").agg(F.count("*").alias("n"), F.min("id").alias("first")).where(F.col("n") > k + 1).drop("n"))
+    crowded = durable(hashed.df.groupBy("space", "copy").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1").drop("n"))
     surplus, index = None, hashed
     if crowded.df.limit(1).count():
         marked = hashed.df.join(F.broadcast(crowded.df) if crowded.df.count() <= BROADCAST_KEYS else crowded.df, ["space", "copy"], "left")
