@@ -10,9 +10,10 @@ a pair whose difference exceeds the limit is discarded without loss; survivors a
 the strings.
 
 A pivot table alone would have to be compared with every other table. The pairs it is asked about
-are therefore those that share one of their rarest windows: two sets of similarity s share at
-least one element of their prefixes, the a - ceil(s * a) + 1 rarest windows of each (any common
+are therefore those that share some of their rarest windows: two sets of similarity s share at
+least m elements of their prefixes, the a - ceil(s * a) + m rarest windows of each (any common
 order of windows is right; counts in a fixed table of 2^18 cells make the prefixes selective).
+With m = SHARED > 1 a single window in common by chance makes no candidate.
 
 Equal strings are one class throughout; only the last step expands classes to pairs of ids.
 """
@@ -32,6 +33,7 @@ CELLS = 1 << 18
 WIDTH = 256
 SEGMENTS = 4
 REFERENCES = 11
+SHARED = 4
 PIVOTS = 1 + SEGMENTS + REFERENCES
 _ODD = np.uint64(0x9E3779B97F4A7C15)  # fixed value: 2^64 / golden ratio, odd
 
@@ -86,7 +88,7 @@ def _table(length: int, similarity: float, counts: np.ndarray, references: np.nd
             for cls, x, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 keys = windows(x, s, length)
                 n = len(keys)
-                take = n - int(np.ceil(similarity * n - 1e-9)) + 1
+                take = n - int(np.ceil(similarity * n - 1e-9)) + SHARED
                 order = np.lexsort((keys, counts[(keys >> np.uint64(46)).astype(np.int64)]))[:take]
                 kept.append(cls), sizes.append(n), prefixes.append(keys[order].view(np.int64)), prints.append(fingerprint(keys))
             f = np.stack(prints).astype(np.int32) if prints else np.zeros((0, WIDTH), np.int32)
@@ -148,7 +150,7 @@ def similar_classes(texts: DataFrame, similarity: float = 0.70, length: int = 5)
     rest = F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b")) + F.least("at_a", "at_b")
     need = sizes * (similarity / (1 + similarity)) - 1e-9
     near = one.join(two, ["part", "window"]).where((F.col("cls_a") < F.col("cls_b")) & (F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b") - 1e-9) & (rest >= need) & (furthest <= limit))
-    pairs = durable(near.groupBy(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).agg(F.lit(1).alias("x")).select("a", "b"))
+    pairs = durable(near.groupBy(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).agg(F.count("*").alias("shared"), F.min(F.least("size_a", "size_b")).alias("least")).where(F.col("shared") >= F.least(F.lit(SHARED), F.ceil(similarity * F.col("least") - 1e-9))).select("a", "b"))
     left = classes.df.select(F.col("cls").alias("a"), F.col("data").alias("x"), "step")
     right = classes.df.select(F.col("cls").alias("b"), F.col("data").alias("y"))
     both = pairs.df.join(left, "a").join(right, "b").select("a", "b", "x", "y", "step")
