@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("components_queries", "forest_queries", "packing_queries", "leaks_queries", "neardup_queries", "textstats_queries", "provenance_queries")
+MODULES = ("components_queries", "forest_queries", "packing_queries", "leaks_queries", "neardup_queries", "textstats_queries", "provenance_queries", "syntax_queries")
 
 
 def llm_queries() -> dict:
