@@ -24,14 +24,14 @@ def look_back_days(text: str) -> int:
 
 def recency(ts: Column, now: Column) -> Column:
     """Weight of a change: 1 now, halved every HALF_LIFE_DAYS; a change in the future counts as now."""
-    days = F.greatest(F.unix_micros(now) - F.unix_micros(ts), F.lit(0)) / 86_400_000_000.0
+    days = F.greatest(F.unix_micros(now.cast("timestamp")) - F.unix_micros(ts.cast("timestamp")), F.lit(0)) / 86_400_000_000.0
     return F.exp(-F.log(F.lit(2.0)) * days / HALF_LIFE_DAYS)
 
 
-def commit_window(commits: DataFrame, files: DataFrame, max_files: int = 50, max_commits: int = 2000, since: Column | None = None, merges: bool = False) -> DataFrame:
-    """(commit_id, ts, n_files, merge, bulk): the newest ``max_commits`` commits and why they are skipped."""
+def commit_window(commits: DataFrame, files: DataFrame, max_files: int = 50, max_commits: int | None = 2000, since: Column | None = None, merges: bool = False) -> DataFrame:
+    """(commit_id, ts, n_files, merge, bulk): the newest ``max_commits`` commits (all if None) and why they are skipped."""
     rows = commits if since is None else commits.where(F.col("ts") >= since)
-    newest = rows.orderBy(F.col("ts").desc(), "commit_id").limit(max_commits)
+    newest = rows if max_commits is None else rows.orderBy(F.col("ts").desc(), "commit_id").limit(max_commits)
     n = files.groupBy("commit_id").agg(F.count_distinct("path").alias("n_files"))
     out = newest.join(n, "commit_id", "left").withColumn("n_files", F.coalesce("n_files", F.lit(0)))
     merge = F.lit(False) if merges else F.col("n_parents") > 1

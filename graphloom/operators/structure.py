@@ -79,7 +79,7 @@ def _layers(g: Graph) -> DataFrame:
     parts = F.split(F.lower("package"), "/")
     hit = F.filter(parts, lambda p: F.map_contains_key(names, p))
     rows = g.symbols.select("id", hit.alias("hit")).where(F.size("hit") > 0)
-    return rows.select("id", F.element_at("hit", -1).alias("layer")).withColumn("level", names[F.col("layer")])
+    return rows.select("id", F.try_element_at("hit", F.lit(-1)).alias("layer")).withColumn("level", names[F.col("layer")])
 
 
 def layer_violations(g: Graph) -> DataFrame:

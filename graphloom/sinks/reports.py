@@ -21,7 +21,7 @@ def symbol_lines(symbols: DataFrame) -> DataFrame:
     """(file_path, ord, line) of symbols with sid, span and properties."""
     place = F.when(F.col("span.start") == F.col("span.end"), F.concat(F.lit("L"), F.col("span.start"))).otherwise(F.concat(F.lit("L"), F.col("span.start"), F.lit("-L"), F.col("span.end")))
     props = property_text(F.coalesce("properties", F.create_map().cast("map<string,string>")))
-    line = F.concat_ws(" ", "sid", F.concat_ws("/", "category", "kind"), place, F.when(F.col("signature") != "", F.col("signature")), F.when(props != "", F.concat(F.lit("{"), props, F.lit("}"))))
+    line = F.concat_ws(" ", "sid", F.concat_ws("/", "category", "kind"), place, F.when(F.trim(F.col("signature")) != "", F.trim(F.regexp_replace("signature", r"\s+", " "))), F.when(props != "", F.concat(F.lit("{"), props, F.lit("}"))))
     return symbols.select("file_path", "ord", line.alias("line"))
 
 
