@@ -31,10 +31,10 @@ _ITEMS = """
 WITH last AS (SELECT file, history_score, structure_score, pagerank, betweenness, row_number() OVER (PARTITION BY file ORDER BY generated_at DESC NULLS LAST) AS r
   FROM hotspot_entries WHERE file IS NOT NULL),
 clean AS (SELECT split_part(file, '/', 1) AS repo, file,
-  CASE WHEN history_score IS NULL OR isnan(history_score) THEN -1e300 ELSE history_score END AS s1,
-  CASE WHEN structure_score IS NULL OR isnan(structure_score) THEN -1e300 ELSE structure_score END AS s2,
-  CASE WHEN pagerank IS NULL OR isnan(pagerank) THEN -1e300 ELSE pagerank END AS s3,
-  CASE WHEN betweenness IS NULL OR isnan(betweenness) THEN -1e300 ELSE betweenness END AS s4
+  CASE WHEN history_score IS NULL OR CAST(history_score AS VARCHAR) ILIKE '%nan%' THEN -1e300 ELSE history_score END AS s1,
+  CASE WHEN structure_score IS NULL OR CAST(structure_score AS VARCHAR) ILIKE '%nan%' THEN -1e300 ELSE structure_score END AS s2,
+  CASE WHEN pagerank IS NULL OR CAST(pagerank AS VARCHAR) ILIKE '%nan%' THEN -1e300 ELSE pagerank END AS s3,
+  CASE WHEN betweenness IS NULL OR CAST(betweenness AS VARCHAR) ILIKE '%nan%' THEN -1e300 ELSE betweenness END AS s4
   FROM last WHERE r = 1),
 """
 _POSITION = "rank() OVER (PARTITION BY repo ORDER BY s1 DESC) + rank() OVER (PARTITION BY repo ORDER BY s2 DESC) + rank() OVER (PARTITION BY repo ORDER BY s3 DESC) + rank() OVER (PARTITION BY repo ORDER BY s4 DESC)"
@@ -48,7 +48,7 @@ SELECT repo, file FROM top WHERE r <= 3""",
     "p7_ranking": _ITEMS
     + f"""
 pos AS (SELECT repo, file, {_POSITION} AS position_sum FROM clean),
-long AS (SELECT repo, file, unnest([1, 2, 3, 4]) AS k, unnest([s1, s2, s3, s4]) AS v FROM clean),
+long AS (SELECT repo, file, 1 AS k, s1 AS v FROM clean UNION ALL SELECT repo, file, 2, s2 FROM clean UNION ALL SELECT repo, file, 3, s3 FROM clean UNION ALL SELECT repo, file, 4, s4 FROM clean),
 pct AS (SELECT *, count(*) OVER (PARTITION BY repo, k) AS n,
   (rank() OVER (PARTITION BY repo, k ORDER BY v) - 1 + (count(*) OVER (PARTITION BY repo, k, v) - 1) / 2.0) / greatest(count(*) OVER (PARTITION BY repo, k) - 1, 1) AS p FROM long),
 flow AS (SELECT a.repo, a.file, sum((a.p - b.p) / greatest(a.n - 1, 1)) AS net

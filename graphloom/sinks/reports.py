@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -100,7 +99,7 @@ def write_text(lines: DataFrame, folder: str, clean: bool = False) -> None:
 
 
 _PAGE = """<!doctype html><meta charset="utf-8"><title>Graph</title><body><svg id="g" width="100%" height="900"></svg>
-<script>const data = %s;
+<script>const data = DATA;
 const svg = document.getElementById("g"), at = {}, n = data.nodes.length;
 data.nodes.forEach((d, i) => { const a = 2 * Math.PI * i / n; at[d.id] = [600 + 400 * Math.cos(a), 450 + 400 * Math.sin(a)]; });
 const add = (t, o) => { const e = document.createElementNS("http://www.w3.org/2000/svg", t); for (const k in o) e.setAttribute(k, o[k]); svg.append(e); return e; };
@@ -117,7 +116,7 @@ def html_page(nodes: DataFrame, edges: DataFrame, limit: int = 5000) -> str:
     es = [r.asDict() for r in edges.limit(4 * limit + 1).collect()]
     if len(ns) > limit or len(es) > 4 * limit:
         raise ValueError("too many nodes or edges for one page")
-    return _PAGE % re.sub(r"</", r"<\\/", json.dumps({"nodes": ns, "edges": es}))
+    return _PAGE.replace("DATA", json.dumps({"nodes": ns, "edges": es}).replace("</", "<\\/"), 1)
 
 
 def analysis_report(spark: SparkSession, sections: dict[str, DataFrame]) -> DataFrame:
