@@ -1,4 +1,4 @@
-"""Queries of the reference's operators, over whole tables, with DuckDB SQL written from the definitions."""
+"""Queries of the graph, history, resolution, similarity and sink operators over whole tables, with DuckDB SQL written from their definitions."""
 
 from __future__ import annotations
 
@@ -313,8 +313,8 @@ def line_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return reports.read_lines(symbol_lines(spark, folder)).select("sid", "category", "kind", "start", "end")
 
 
-QUERIES["symbol_lines"], QUERIES["skt_reader"] = symbol_lines, line_round_trip
-SQL["skt_reader"] = _NAMED + """, p AS (SELECT file_path, ord, 'S' || row_number() OVER (ORDER BY file_path, ord) AS sid FROM s),
+QUERIES["symbol_lines"], QUERIES["line_reader"] = symbol_lines, line_round_trip
+SQL["line_reader"] = _NAMED + """, p AS (SELECT file_path, ord, 'S' || row_number() OVER (ORDER BY file_path, ord) AS sid FROM s),
 x AS (SELECT file_path, ord, any_value(category) AS category, any_value(kind) AS kind, any_value(span.start) AS "start", any_value(span."end") AS "end" FROM symbols WHERE id <> '' AND file_path <> '' AND name IS NOT NULL GROUP BY 1, 2)
 SELECT sid, category, kind, "start", "end" FROM p JOIN x USING (file_path, ord)"""
 _graph_query("edge_blocks", lambda g: reports.edge_blocks(g.edges), """

@@ -122,10 +122,10 @@ def test_sinks(spark, tmp_path):
     assert [tuple(r) for r in reports.dictionary(tokens).collect()] == [("d0", "callable"), ("d1", "type")]
     blocks = spark.createDataFrame([("a", 300), ("b", 300), ("c", 100)], "file_path string, lines int")
     assert {r.file_path: r.part for r in reports.flat_blocks(blocks).collect()}["a"] == 0
-    (tmp_path / "old.skt").write_text("x")
+    (tmp_path / "old.map").write_text("x")
     with pytest.raises(FileExistsError):
-        reports.guard_output(str(tmp_path), ".skt")
-    reports.guard_output(str(tmp_path), ".skt", clean=True)
+        reports.guard_output(str(tmp_path), ".map")
+    reports.guard_output(str(tmp_path), ".map", clean=True)
     assert not list(tmp_path.iterdir())
     page = reports.html_page(spark.createDataFrame([("</script>",)], "id string"), spark.createDataFrame([], "src string, dst string"))
     assert page.count("</script>") == 1
