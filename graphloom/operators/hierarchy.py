@@ -184,15 +184,18 @@ def paths(tree: DataFrame, separator: str = " > ") -> DataFrame:
 
 
 def descendants(tree: DataFrame) -> DataFrame:
-    """(ancestor, descendant, distance) for all pairs on loop-free branches, level by level.
+    """(ancestor, descendant, distance) for all pairs on loop-free branches, by doubling distances.
 
     The result has one row per node and ancestor, so its size is the sum of all depths.
     """
-    links = durable(tree.where("depth > 0").select(F.col("node").alias("descendant"), F.col("parent").alias("ancestor")))
-    up = tree.where("depth > 0").select(F.col("node").alias("ancestor"), F.col("parent").alias("next"))
-    level, distance, out = links, 1, None
-    while level.df.limit(1).count():
-        rows = level.df.select("ancestor", "descendant", F.lit(distance).alias("distance"))
-        out = rows if out is None else out.unionByName(rows)
-        level, distance = durable(lookup(level.df, "ancestor", up, "inner").select("descendant", F.col("next").alias("ancestor"))), distance + 1
-    return out if out is not None else level.df.select("ancestor", "descendant", F.lit(0).alias("distance"))
+    jump = durable(tree.where("depth > 0").select(F.col("node").alias("descendant"), F.col("parent").alias("mid")))
+    pairs, step = durable(jump.df.select(F.col("mid").alias("ancestor"), "descendant", F.lit(1).alias("distance"))), 1
+    while True:
+        # pairs hold distances up to step, jump leads exactly step up
+        further = pairs.df.select(F.col("descendant").alias("mid"), "ancestor", "distance")
+        more = durable(jump.df.join(further, "mid").select("ancestor", "descendant", (F.col("distance") + step).alias("distance")))
+        if not more.df.limit(1).count():
+            return pairs.df
+        ahead = jump.df.select(F.col("descendant").alias("mid"), F.col("mid").alias("next"))
+        pairs, old = durable(pairs.df.unionByName(more.df), drop=(pairs, more)), jump
+        jump, step = durable(old.df.join(ahead, "mid").select("descendant", F.col("next").alias("mid")), drop=(old,)), 2 * step
