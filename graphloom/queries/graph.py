@@ -356,9 +356,8 @@ SELECT s.id, CAST(bucket AS INTEGER) AS bucket, round(w / n, 6) AS value FROM s
 
 
 def near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
-    """Scored duplicates of a twentieth of the symbols (by hash of the id), searched against all."""
-    e = _entries(spark, folder)
-    return similarity.duplicates(e, e, e.where(F.pmod(F.xxhash64("id"), F.lit(20)) == 0))
+    """Scored duplicates: all pairs of symbols of a category with a similarity from 65 to 95."""
+    return similarity.duplicates(_entries(spark, folder))
 
 
 def _embedded(spark: SparkSession, folder: str) -> DataFrame:
