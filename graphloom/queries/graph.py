@@ -394,12 +394,11 @@ QUERIES["token_similarity"] = token_similarity
 
 
 def rerank(spark: SparkSession, folder: str) -> DataFrame:
-    """Near duplicates rescored with the vectors of their rank among all symbols' embeddings."""
+    """All near duplicates and the five nearest of every symbol, rescored with the symbols' token-pair vectors (which stand in for embeddings)."""
     e = _entries(spark, folder)
-    queries = e.where(F.pmod(F.xxhash64("id"), F.lit(20)) == 0)
-    near = durable(similarity.nearest(e, queries, 5).select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()).df
-    scored = similarity.score_pairs(near, e)
-    return similarity.rerank(scored, e.select("id", "vec"), near.limit(0), 0, 100)
+    scored = durable(similarity.duplicates(e)).df
+    semantic = similarity.nearest_of_all(e, 5, 0.8 - 1e-6).select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
+    return similarity.rerank(scored, semantic, e.select("id", "vec"), e, 0, 100)
 
 
 QUERIES["rerank"] = rerank
