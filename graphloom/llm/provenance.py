@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.common import durable
@@ -37,7 +37,6 @@ KINDS = ("third-party", "generated", "minified", "data")
 _COUNTED = re.compile(r"^[ \t]*(?:public |static |def |func \([^)\n]*\) |function )*(?:[\w<>\[\]*]+ )?\w+?_?(\d+)=?\s*(?:\(|$)", re.M)
 MIN_PROGRAM = 40
 COPIES = 3
-RARE = 8
 
 
 def is_minified(code: str) -> bool:
@@ -140,20 +139,25 @@ def not_handwritten(files: DataFrame, extensions: DataFrame) -> DataFrame:
 
 
 def vendored_edits(files: DataFrame, extensions: DataFrame, contained: float = 0.8) -> DataFrame:
-    """(path, source, share): hand-written-looking files that hold at least ``contained`` of a third-party file's rare lines.
+    """(path, source, share): hand-written-looking files that hold at least ``contained`` of a third-party file's lines.
 
-    Rare are lines of at most RARE distinct programs; commoner lines say nothing of origin. share is the exact part of the
-    third-party program's rare lines that the file holds; the best source is named (ties: smaller path).
+    Lines are distinct code lines, common ones too; share is the exact part of the third-party program's lines that the file holds;
+    the best source is named (ties: smaller path). Who holds so many of n lines misses at most n less those, so it holds one of
+    any one more: candidates are the holders of one of the rarest, and all lines of both decide.
     """
     examined = durable(examined_files(files, extensions))
     programs = examined.df.where(F.col("size") >= MIN_PROGRAM).groupBy("program").agg(F.first("lines").alias("lines"), F.min("path").alias("source"), F.max(F.when(F.col("kind") == "third-party", 1).otherwise(0)).alias("foreign"), F.count_distinct("repo").alias("repos"))
-    programs = programs.withColumn("foreign", F.greatest("foreign", F.when(F.col("repos") >= COPIES, 1).otherwise(0)))
-    index = durable(programs.select("program", "source", "foreign", F.explode("lines").alias("line")))
-    rare = index.df.groupBy("line").agg(F.count("*").alias("df")).where(F.col("df") <= RARE).select("line")
-    rare_index = durable(index.df.join(rare, "line"))
-    theirs = rare_index.df.where("foreign = 1")
-    totals = theirs.groupBy(F.col("program").alias("origin")).agg(F.count("*").alias("of"))
-    shared = rare_index.df.where("foreign = 0").select("program", "line").join(theirs.select(F.col("program").alias("origin"), "source", "line"), "line")
-    held = shared.groupBy("program", "origin", "source").agg(F.count("*").alias("n")).join(totals, "origin").withColumn("share", F.col("n") / F.col("of")).where(F.col("share") >= contained)
+    programs = durable(programs.withColumn("foreign", F.greatest("foreign", F.when(F.col("repos") >= COPIES, 1).otherwise(0))).withColumn("n", F.size("lines")))
+    index = durable(programs.df.select("program", "foreign", "n", F.explode("lines").alias("line")))
+    counts = index.df.groupBy("line").agg(F.count("*").alias("df"), F.min("foreign").alias("held")).where("held = 0")
+    counts = counts.select("line", "df")
+    # lines that only third-party programs hold are the rarest: they are counted, not joined
+    ranked = index.df.where("foreign = 1").join(counts, "line", "left").withColumn("rank", F.row_number().over(Window.partitionBy("program").orderBy(F.coalesce("df", F.lit(0)), "line")))
+    need = F.ceil(F.col("n") * contained - 1e-9)
+    prefix = ranked.where(F.col("df").isNotNull() & (F.col("rank") <= F.col("n") - need + 1)).select(F.col("program").alias("origin"), need.alias("need"), "line")
+    pairs = durable(index.df.where("foreign = 0").select("program", "n", "line").join(prefix, "line").where("n >= need").select("program", "origin").distinct())
+    theirs = programs.df.where("foreign = 1").select(F.col("program").alias("origin"), "source", F.col("lines").alias("of"))
+    both = pairs.df.join(theirs, "origin").join(programs.df.where("foreign = 0").select("program", "lines"), "program")
+    held = both.select("program", "source", (F.size(F.array_intersect("lines", "of")) / F.size("of")).alias("share")).where(F.col("share") >= contained - 1e-9)
     best = held.groupBy("program").agg(F.min(F.struct((-F.col("share")).alias("s"), "source")).alias("b"))
     return examined.df.select("path", "program").distinct().join(best, "program").select("path", F.col("b.source").alias("source"), F.round(-F.col("b.s"), 6).alias("share"))

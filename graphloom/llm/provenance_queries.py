@@ -19,7 +19,7 @@ def p3_kinds(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_edits(spark: SparkSession, folder: str) -> DataFrame:
-    """Files that hold most rare lines of a third-party file, with that file."""
+    """Files that hold most lines of a third-party file, with that file."""
     return vendored_edits(table(spark, folder, "source_files"), table(spark, folder, "scanner_extensions"))
 
 
