@@ -1,12 +1,11 @@
 """Generated, minified and vendored source files, and data stored as code (problem 3).
 
 Per file, in one pass: its folder, its opening and closing notices, its token composition, its
-program text (code lines without comments and white space at their ends). Across files: an inverted
-index from line hashes to files; the rarest line of a file, by counts over the distinct files of
-the whole table, is its anchor, and files of one anchor whose line sequences contain each other are
-the same program. A program that stands in at least three repositories is a third-party copy.
+program text (code lines without comments and white space at their ends). Across files: files of
+equal program text, by a 128-bit hash of its lines and strings, are the same program, and one that
+stands in at least three repositories is a third-party copy, however short it is.
 
-Index and anchors are aggregates on (line) and on (anchor, program), with copies of a program
+Edited copies are found by an inverted index from line hashes to programs, with copies of a program
 collapsed before lines are exploded, so a program copied into every repository is indexed once.
 """
 
@@ -113,14 +112,6 @@ def examined_files(files: DataFrame, extensions: DataFrame) -> DataFrame:
     return rows.mapInArrow(_read(known), "path string, repo string, kind string, program binary, size int, lines array<bigint>")
 
 
-def anchored_programs(examined: DataFrame) -> DataFrame:
-    """(program, anchor): the rarest line of each distinct program, by counts over distinct programs."""
-    programs = examined.where(F.col("size") >= MIN_PROGRAM).groupBy("program").agg(F.first("lines").alias("lines"))
-    index = durable(programs.select("program", F.explode("lines").alias("line")))
-    counts = index.df.groupBy("line").agg(F.count("*").alias("df"))
-    return index.df.join(counts, "line").groupBy("program").agg(F.min(F.struct("df", "line"))["line"].alias("anchor"))
-
-
 def not_handwritten(files: DataFrame, extensions: DataFrame) -> DataFrame:
     """(path, kind): files that are generated, minified, third-party or data; one row per path.
 
@@ -128,10 +119,9 @@ def not_handwritten(files: DataFrame, extensions: DataFrame) -> DataFrame:
     files; ties between kinds go to the one that comes first in ``KINDS``.
     """
     examined = durable(examined_files(files, extensions))
-    anchors = durable(anchored_programs(examined.df))
-    homes = examined.df.where(F.col("size") >= MIN_PROGRAM).select("program", "repo").distinct()
-    # containment both ways: same anchor and the same sequence of lines
-    spread = homes.join(anchors.df, "program").groupBy("anchor", "program").agg(F.count("*").alias("repos")).where(F.col("repos") >= COPIES)
+    # a file without code (comments only) has no program text to be copied
+    homes = examined.df.where(F.col("size") > 0).select("program", "repo").distinct()
+    spread = homes.groupBy("program").agg(F.count("*").alias("repos")).where(F.col("repos") >= COPIES)
     copies = spread.select("program", F.lit("third-party").alias("copied"))
     kinds = examined.df.select("path", "kind", "program").join(copies, "program", "left").select("path", F.coalesce("copied", "kind").alias("kind")).where("kind IS NOT NULL")
     order = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind"))

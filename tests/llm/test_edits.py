@@ -18,3 +18,11 @@ def test_many_edited_versions(spark):
             want[r.path] = (source, round(share, 6))
     got = {r.path: (r.source, r.share) for r in provenance.vendored_edits(df, ext).collect()}
     assert got == want and set(got) == {p for p, _ in files[1:14]}
+
+
+def test_short_copies(spark):
+    files = [(f"r{k}/a{k}.js", "// of " + str(k) + "\nlet a = f(1);\n") for k in range(3)] + [(f"r{k}/c.js", f"// only a comment {k}\n") for k in range(3)]
+    files += [("r0/two.js", "let b = f(2);\n"), ("r1/two.js", "let b = f(2);\n"), ("r2/two.js", "let b = f('2');\n")]
+    df = spark.createDataFrame([(p, bytearray(t.encode())) for p, t in files], "path string, content binary")
+    ext = spark.createDataFrame([(".js", "javascript")], "ext string, language string")
+    assert {r.path for r in provenance.not_handwritten(df, ext).collect()} == {f"r{k}/a{k}.js" for k in range(3)}
