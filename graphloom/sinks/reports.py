@@ -7,6 +7,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from graphloom.common import durable
+
 NO_LINES = 500
 
 
@@ -120,11 +122,18 @@ def html_page(nodes: DataFrame, edges: DataFrame, limit: int = 5000) -> str:
 
 
 def analysis_report(spark: SparkSession, sections: dict[str, DataFrame]) -> DataFrame:
-    """(section, place, line): titled sections; one without rows says so. For results that a person reads."""
+    """(section, place, line): titled sections with all their rows in their order; one without rows says so."""
     out = None
     for title, df in sections.items():
         text = df.select(F.concat_ws(" ", *[F.concat(F.lit(f"{c}="), F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("-"))) for c in df.columns]).alias("line"))
-        rows = [r[0] for r in text.limit(1000).collect()] or ["none detected"]
-        part = spark.createDataFrame([(title, k, x) for k, x in enumerate(rows)], "section string, place int, line string")
-        out = part if out is None else out.unionByName(part)
+        placed = durable(text.withColumn("at", F.monotonically_increasing_id())).df
+        # the id holds the partition above 33 bits of the row: rows of the partitions before give the place
+        part = F.shiftright("at", 33)
+        sizes = placed.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
+        before = sizes.withColumn("before", F.sum("n").over(Window.orderBy("part")) - F.col("n")).select("part", "before")
+        rows = placed.join(before, part == F.col("part")).select("line", (F.col("before") + F.col("at").bitwiseAND((1 << 33) - 1)).cast("int").alias("place"))
+        if sizes.isEmpty():
+            rows = spark.createDataFrame([("none detected", 0)], "line string, place int")
+        one = rows.select(F.lit(title).alias("section"), "place", "line")
+        out = one if out is None else out.unionByName(one)
     return out
