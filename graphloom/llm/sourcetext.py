@@ -5,6 +5,9 @@ from __future__ import annotations
 import codecs
 import re
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 #: How a language writes comments and strings (fixed values).
 FAMILY = {
     "c": "brace", "cpp": "brace", "csharp": "brace", "go": "brace", "java": "brace", "javascript": "brace", "typescript": "brace",
@@ -109,3 +112,15 @@ def code_and_literals(text: str, family: str) -> tuple[str, int]:
         return '""'
 
     return PIECES[family].sub(blank, text), held
+
+
+def registered(files: DataFrame, extensions: DataFrame) -> DataFrame:
+    """(path, content, language) of rows with a path, content and an extension in ``extensions`` (ext, language; case-sensitive).
+
+    The extension is what follows the last dot of the last path segment, with its dot. Null extensions match nothing; an
+    extension registered twice counts with its smaller language.
+    """
+    known = extensions.where("ext IS NOT NULL AND language IS NOT NULL").groupBy(F.col("ext").alias("_ext")).agg(F.min("language").alias("language"))
+    ext = F.regexp_extract("path", r"(\.[^./]*)$", 1)
+    rows = files.where("path IS NOT NULL AND content IS NOT NULL").select("path", "content", ext.alias("_ext")).where("_ext <> ''")
+    return rows.join(known, "_ext").select("path", "content", "language")

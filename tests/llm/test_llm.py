@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from graphloom.llm import leaks, neardup, packing, provenance, rendering, syntax, textstats
-from graphloom.llm.chart import Grammar
+from graphloom.llm.glr import Recogniser
 from graphloom.llm.components import connected_groups, links
 from graphloom.llm.forest import forest_neighbours, usable_vectors
 from graphloom.llm.syntax_queries import checked_files
@@ -137,13 +137,24 @@ def test_not_prose(spark):
     assert textstats.not_prose(empty).count() == 0
 
 
-def test_chart():
-    g = Grammar("E: T | E + T\nT: n | ( E )\nL: E? | E , L")
-    assert g.cost("n + ( n + n )".split(), "E") == 0
-    assert g.cost("n + ( n + )".split(), "E") is None
-    assert g.cost("n + ( n + )".split(), "E", 2) == 1
-    assert g.cost("n n".split(), "E", 2) == 1
-    assert g.cost([], "L") == 0
+def _least_edits(grammar, start, alphabet, tokens, most):
+    """Brute force: breadth first over all edited strings."""
+    now, seen = {tokens}, {tokens}
+    for edits in range(most + 1):
+        if any(grammar.accepts(start, t) for t in now):
+            return edits
+        new = {t[:k] + c + t[k + d :] for t in now for k in range(len(t) + 1) for c in [*alphabet, ""] for d in (0, 1)}
+        now = new - seen
+        seen |= new
+    return None
+
+
+def test_chart_of_edits():
+    g = Recogniser("E: T | E + T\nT: n | ( E )\nL: E | L , E", ["E", "L"], lambda c: frozenset([c]))
+    assert g.accepts("E", "n+(n+n)") and not g.accepts("E", "n+(n+)") and g.accepts("L", "n,n+n") and not g.accepts("L", "n,")
+    rnd = random.Random(5)
+    for text in ["n+(n+)", "nn", "", ")(", "n++n", *("".join(rnd.choice("n+(),") for _ in range(5)) for _ in range(25))]:
+        assert g.repair("E", text, 2) == _least_edits(g, "E", "n+(),", text, 2), text
 
 
 VALID = {
