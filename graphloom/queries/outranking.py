@@ -5,26 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.operators.outranking import best_of, latest, ranking, score_flows
+from graphloom.operators.outranking import MID, TOP, best_of, latest, ranking, score_flows
 from graphloom.queries import table
 
 SCORES = {"history_score": 1.0, "structure_score": 1.0, "pagerank": 1.0, "betweenness": 1.0}
 
 
-def _ranked(spark: SparkSession, folder: str) -> DataFrame:
+def _ranked(spark: SparkSession, folder: str, percentile: str) -> DataFrame:
     entries = table(spark, folder, "hotspot_entries").select("file", "generated_at", *SCORES)
     items = latest(entries).withColumn("repo", F.substring_index("file", "/", 1))
-    return ranking(score_flows(items, "repo", "file", SCORES), "repo", "file")
+    return ranking(score_flows(items, "repo", "file", SCORES, percentile), "repo", "file")
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
-    """The three files of each repository with the smallest sum of positions."""
-    return best_of(_ranked(spark, folder), "repo", "file", "position_sum", 3).select("repo", "file")
+    """The three files of each repository with the greatest net flow.
+
+    A file's percentile in a score is the share of the files not above it, so preferences are differences of positions and
+    the flow over all others falls by the same amount with every position: net flow orders as the sum of positions does.
+    """
+    return best_of(_ranked(spark, folder, TOP), "repo", "file", "units", 3).select("repo", "file")
 
 
 def p7_ranking(spark: SparkSession, folder: str) -> DataFrame:
     """Net outranking flow (linear preference on percentiles) of every file."""
-    return _ranked(spark, folder).select("repo", "file", F.round("net", 6).alias("net"), F.col("position_sum").cast("bigint").alias("position_sum"))
+    return _ranked(spark, folder, MID).select("repo", "file", F.round("net", 6).alias("net"), F.col("position_sum").cast("bigint").alias("position_sum"))
 
 
 _ITEMS = """
