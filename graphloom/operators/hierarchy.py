@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from graphloom.common import Durable, durable, lookup
 
 BUCKETS = 64
+#: Entries of one block that may meet in a task, as a power of two.
+BLOCK = 16
 
 
 def _text(column: str) -> Column:
@@ -167,35 +169,47 @@ def hierarchy(edges: DataFrame, kind: str = "contains") -> DataFrame:
     )
 
 
+def ancestors(tree: DataFrame, itself: bool = False) -> DataFrame:
+    """(ancestor, ancestor_depth, descendant, depth) for all pairs on loop-free branches, from the entry intervals of ``hierarchy``.
+
+    A node is below every node of its root whose interval holds its entry. Intervals are cut into aligned blocks of powers of
+    two, at most two of a size, and an entry lies in one block of every size, so containment is an equality of (root, size,
+    block), met exactly once. Blocks of more than 2^BLOCK entries are split by a hash of the descendant, whose ancestors are
+    repeated for every part. With ``itself`` every node is its own ancestor as well. The result has one row
+    per node and ancestor, so its size is the sum of all depths.
+    """
+    rows = durable(tree.where("depth >= 0").select("node", "root", "depth", "entry", "size"))
+    top = rows.df.agg(F.max(F.col("entry") + F.col("size"))).first()[0] or 1
+    levels = range(int(top).bit_length() + 1)
+    parts = lambda level: 1 << max(0, level - BLOCK)
+    end = F.col("entry") + F.col("size")
+    blocks = []
+    for level in levels:
+        low, high = F.shiftright(F.col("entry") + F.lit((1 << level) - 1).cast("bigint"), level), F.shiftright(end, level)
+        inside = low < high
+        blocks.append(F.when(inside & (low % 2 == 1), F.struct(F.lit(level).alias("level"), low.alias("block"))))
+        blocks.append(F.when(inside & (high % 2 == 1), F.struct(F.lit(level).alias("level"), (high - 1).alias("block"))))
+    above = rows.df.where("size > 1").select(F.col("node").alias("ancestor"), F.col("depth").alias("ancestor_depth"), "root", F.explode(F.filter(F.array(*blocks), lambda x: x.isNotNull())).alias("b"))
+    split = F.element_at(F.array(*[F.lit(parts(level)) for level in levels]), F.col("b.level") + 1)
+    above = above.select("ancestor", "ancestor_depth", "root", "b.level", "b.block", F.explode(F.sequence(F.lit(0), split - 1)).alias("part"))
+    places = F.array(*[F.struct(F.lit(level).alias("level"), F.shiftright("entry", level).alias("block"), F.pmod(F.xxhash64("node"), F.lit(parts(level))).cast("int").alias("part")) for level in levels])
+    below = rows.df.where("depth > 0").select(F.col("node").alias("descendant"), "depth", "root", F.explode(places).alias("b")).select("descendant", "depth", "root", "b.*")
+    pairs = below.join(above, ["root", "level", "block", "part"]).where("ancestor_depth < depth").select("ancestor", "ancestor_depth", "descendant", "depth")
+    if not itself:
+        return pairs
+    return pairs.unionByName(rows.df.select(F.col("node").alias("ancestor"), F.col("depth").alias("ancestor_depth"), F.col("node").alias("descendant"), "depth"))
+
+
 def paths(tree: DataFrame, separator: str = " > ") -> DataFrame:
-    """(node, path): the names from the root to each node of ``hierarchy``'s rows, by doubling.
+    """(node, path): the names from the root to each node of ``hierarchy``'s rows: its ancestors in order of depth.
 
     Loop nodes and nodes below a loop have no path from a root and get null.
     """
-    base = durable(tree.where("depth >= 0").select("node", F.col("parent").alias("up"), F.col("node").alias("path")))
     looped = tree.where("depth < 0").select("node", F.lit(None).cast("string").alias("path"))
-    now = base
-    while now.df.where("up IS NOT NULL").limit(1).count():
-        above = now.df.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("path").alias("front"))
-        active = durable(now.df.where("up IS NOT NULL"))
-        step = lookup(active.df, "up", above).select("node", F.col("up2").alias("up"), F.concat("front", F.lit(separator), "path").alias("path"))
-        now = durable(now.df.where("up IS NULL").unionByName(step), drop=(now, active))
-    return now.df.select("node", "path").unionByName(looped)
+    steps = ancestors(tree, itself=True).groupBy(F.col("descendant").alias("node")).agg(F.array_sort(F.collect_list(F.struct("ancestor_depth", "ancestor"))).alias("steps"))
+    return steps.select("node", F.array_join(F.transform("steps", lambda x: x["ancestor"]), separator).alias("path")).unionByName(looped)
 
 
 def descendants(tree: DataFrame) -> DataFrame:
-    """(ancestor, descendant, distance) for all pairs on loop-free branches, by doubling distances.
-
-    The result has one row per node and ancestor, so its size is the sum of all depths.
-    """
-    jump = durable(tree.where("depth > 0").select(F.col("node").alias("descendant"), F.col("parent").alias("mid")))
-    pairs, step = durable(jump.df.select(F.col("mid").alias("ancestor"), "descendant", F.lit(1).alias("distance"))), 1
-    while True:
-        # pairs hold distances up to step, jump leads exactly step up
-        further = pairs.df.select(F.col("descendant").alias("mid"), "ancestor", "distance")
-        more = durable(jump.df.join(further, "mid").select("ancestor", "descendant", (F.col("distance") + step).alias("distance")))
-        if not more.df.limit(1).count():
-            return pairs.df
-        ahead = jump.df.select(F.col("descendant").alias("mid"), F.col("mid").alias("next"))
-        pairs, old = durable(pairs.df.unionByName(more.df), drop=(pairs, more)), jump
-        jump, step = durable(old.df.join(ahead, "mid").select("descendant", F.col("next").alias("mid")), drop=(old,)), 2 * step
+    """(ancestor, descendant, distance) for all pairs on loop-free branches, by intervals; ``hierarchy``'s size has their number."""
+    return ancestors(tree).select("ancestor", "descendant", (F.col("depth") - F.col("ancestor_depth")).alias("distance"))

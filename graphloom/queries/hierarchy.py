@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from graphloom.common import durable
 from graphloom.operators.hierarchy import descendants, hierarchy, paths
 from graphloom.queries import table
 
@@ -15,13 +16,13 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p2_paths(spark: SparkSession, folder: str) -> DataFrame:
     """Path from the root to each node, and the size of its subtree."""
-    tree = hierarchy(table(spark, folder, "edges"))
+    tree = durable(hierarchy(table(spark, folder, "edges"))).df
     return tree.select("node", "size").join(paths(tree), "node")
 
 
 def p2_descendants(spark: SparkSession, folder: str) -> DataFrame:
     """All (ancestor, descendant, distance) on loop-free branches."""
-    return descendants(hierarchy(table(spark, folder, "edges")))
+    return descendants(durable(hierarchy(table(spark, folder, "edges"))).df)
 
 
 _PARENTS = r"""
