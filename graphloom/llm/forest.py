@@ -1,19 +1,22 @@
 """The k most similar vectors of every vector (problem 1): a hash-prefix forest.
 
-Each tree hashes a vector to a long string of signs of random projections and keeps all strings of
-a space as one sorted array, cut by ranges over the cluster. The rows next to a string in that
-array are those with the longest common prefix; descending to the longest match and ascending to
-shorter prefixes for more candidates is a window that widens around the row. The window is as
-wide in every tree (``reach`` rows either way), so all trees ascend together, without waiting
-for one another. Candidates are compared by exact cosine inside the task that holds the window;
-what leaves a task is only the best k of a row.
-
-Copies of a vector would fill every window, so at most k + 1 of them (those of smallest id) are
-indexed; every further copy takes its answer from the first. Every vector is indexed or
-answered, none is sampled. Work and shuffle grow in proportion to the rows.
-
-The trees run one after another and each keeps only its best lists, so no more than one tree's
-shuffle is on disk at a time.
+Each tree hashes a vector to a string of 64 signs of random projections and keeps all strings of a space as one sorted array, cut
+into buckets over the cluster. The rows that share the first x signs with a vector are a block of that array. A search descends
+to the longest prefix that anyone shares and then ascends, in all trees by the same number of signs, until the blocks of all
+trees together hold ``candidates(n)`` rows; that length is the vector's level. Everything in its blocks is compared by exact
+cosine, and what leaves a task is only the best k of a row. A block that reaches over several buckets is searched in
+each of them: the vector visits them as a query. No window cuts a block.
+
+Levels are found from sorted arrays of a sample (``SAMPLE`` rows at most, the only thing sent to all tasks): block sizes are the
+sample's, scaled up, and exact where the space is smaller than its sample. The sample decides only how far to ascend; every
+vector is indexed and searched for. A space of no more rows than candidates is one block (level 0), the same in all
+trees, and is searched in the first tree only.
+
+The number of rows looked at grows with the square root of the space and the number of trees with its logarithm
+(``candidates``, ``trees_for``), so work and shuffle grow by n^1.5 log n at most.
+
+Copies of a vector would fill every block, so at most k + 1 of them (those of smallest id) are indexed; every further copy takes
+its answer from the first. The trees run one after another, so no more than one tree's shuffle is on disk at a time.
 """
 
 from __future__ import annotations
@@ -30,10 +33,21 @@ from graphloom.common import durable
 
 TREES = 8
 BLOCK = 512
-BROADCAST_KEYS = 100_000
-REACH = 1024
+REACH = 64
+SAMPLE = 65_536
 ROWS_A_TASK = 16_384
-_INDEX = "id bigint, space string, unit binary, copy binary, " + ", ".join(f"h{t} bigint" for t in range(TREES))
+DEEPEST = 40
+_BASE = "id bigint, space string, unit binary, copy binary, words array<bigint>"
+
+
+def candidates(rows: int) -> int:
+    """How many rows the blocks of a vector hold together at least, in a space of ``rows``: REACH times the root."""
+    return int(REACH * max(1, rows) ** 0.5)
+
+
+def trees_for(rows: int) -> int:
+    """How many trees a forest with ``rows`` in its largest space has: eight up to 50,000 rows, four more with every doubling."""
+    return TREES + 4 * max(0, int(np.ceil(np.log2(max(rows, 1) / 50_000))))
 
 
 def usable_vectors(vec: str, length: int | None = None):
@@ -43,54 +57,118 @@ def usable_vectors(vec: str, length: int | None = None):
     return good if length is None else good & (F.size(v) == length)
 
 
-def _hasher(seed: int):
+def _hasher(seed: int, trees: int):
     planes: dict[int, np.ndarray] = {}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for width, part in batch.groupby(batch["vec"].map(len)):
                 if width not in planes:
-                    planes[width] = np.random.default_rng(seed).standard_normal((width, 64 * TREES)).astype(np.float32)
+                    planes[width] = np.random.default_rng(seed).standard_normal((width, 64 * trees)).astype(np.float32)
                 raw = np.stack(part["vec"].to_numpy()).astype(np.float32)
                 unit = raw.astype(np.float64)
                 unit /= np.linalg.norm(unit, axis=1, keepdims=True)
                 bits = (unit.astype(np.float32) @ planes[width]) > 0
-                words = np.packbits(bits.reshape(len(part), TREES, 64), axis=2).view(">u8")[:, :, 0].astype(np.uint64)
-                keys = (words ^ np.uint64(1 << 63)).astype(np.int64)  # signed order equals the order of the strings
+                words = np.packbits(bits.reshape(len(part), trees, 64), axis=2).view(">u8")[:, :, 0].astype(np.int64)
                 same = np.round(unit, 6) + 0.0
-                out = {"id": part["id"].to_numpy(), "space": part["space"].to_numpy(), "unit": [u.tobytes() for u in raw], "copy": [xxhash.xxh3_128_digest(s.tobytes()) for s in same]}
-                yield pd.DataFrame(out | {f"h{t}": keys[:, t] for t in range(TREES)})
+                yield pd.DataFrame({"id": part["id"].to_numpy(), "space": part["space"].to_numpy(), "unit": [u.tobytes() for u in raw], "copy": [xxhash.xxh3_128_digest(s.tobytes()) for s in same], "words": list(words)})
+
+    return run
+
+
+def block_of(words: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last word with the same first ``levels`` signs."""
+    rest = np.where(levels == 0, np.uint64(2**64 - 1), (np.uint64(1) << (np.uint64(64) - np.maximum(levels, 1).astype(np.uint64))) - np.uint64(1))
+    return words & ~rest, words | rest
+
+
+class Space:
+    """What is known of a space: its rows, and per tree a sorted sample of words and the borders of the buckets."""
+
+    def __init__(self, rows: int, words: np.ndarray, first_bucket: int) -> None:
+        self.rows, self.first = rows, first_bucket
+        self.words = np.sort(words, axis=0)
+        self.whole = rows <= candidates(rows) or not len(words)
+        self.buckets = 1 if self.whole else -(-rows // ROWS_A_TASK)
+        self.borders = self.words[(np.arange(1, self.buckets) * len(words)) // self.buckets]
+
+    def levels(self, words: np.ndarray) -> np.ndarray:
+        """The longest prefix at which the blocks of all trees hold enough rows, by bisection; 0 is the whole space."""
+        n = len(words)
+        if self.whole:
+            return np.zeros(n, np.int64)
+        enough = candidates(self.rows) * len(self.words) / self.rows
+        low, high = np.zeros(n, np.int64), np.full(n, DEEPEST, np.int64)
+        while (low < high).any():
+            middle = (low + high + 1) // 2
+            held = np.zeros(n)
+            for t in range(words.shape[1]):
+                first, last = block_of(words[:, t], middle)
+                held += np.searchsorted(self.words[:, t], last, "right") - np.searchsorted(self.words[:, t], first, "left")
+            low, high = np.where(held >= enough, middle, low), np.where(held >= enough, high, middle - 1)
+        return low
+
+
+def _router(spaces):
+    """Adds level, and per tree the bucket of the row and the first and last bucket its block reaches."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = spaces.value
+        for batch in batches:
+            for name, part in batch.groupby("space", sort=False):
+                space = known[name]
+                words = np.stack(part["words"].to_numpy()).astype(np.int64).view(np.uint64)
+                levels = space.levels(words)
+                out = {"level": levels.astype(np.int32), "whole": space.whole}
+                own, low, high = (np.zeros(words.shape, np.int32) for _ in range(3))
+                for t in range(words.shape[1]):
+                    first, last = block_of(words[:, t], levels)
+                    for target, key in ((own, words[:, t]), (low, first), (high, last)):
+                        target[:, t] = space.first + np.searchsorted(space.borders[:, t], key, "right")
+                yield part.assign(**out, own=list(own), low=list(low), high=list(high))
 
     return run
 
 
 def _search(k: int, at_least: float):
-    """Kernel over one sorted range of a tree: id -> its best k inside the window."""
+    """Kernel over the buckets of a tree: (space, id) -> the best k of what the buckets hold of its block."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         whole = [b for b in batches if len(b)]
         if not whole:
             return
-        rows = pd.concat(whole, ignore_index=True).sort_values(["space", "h"], kind="stable")
-        for space, part in rows.groupby("space", sort=False):
-            ids = part["id"].to_numpy()
+        rows = pd.concat(whole, ignore_index=True)
+        for (_, space), part in rows.groupby(["bucket", "space"], sort=False):
+            word = part["word"].to_numpy().astype(np.int64).view(np.uint64)
+            level = part["level"].to_numpy().astype(np.int64)
+            ids, home = part["id"].to_numpy(), part["home"].to_numpy()
             raw = np.stack([np.frombuffer(u, np.float32) for u in part["unit"]]).astype(np.float64)
             unit = raw / np.linalg.norm(raw, axis=1, keepdims=True)
-            low, n = unit.astype(np.float32), len(ids)
-            for start in range(0, n, BLOCK):
-                stop = min(n, start + BLOCK)
-                left, right = max(0, start - REACH), min(n, stop + REACH)
-                sims = low[start:stop] @ low[left:right].T
-                sims[np.arange(stop - start), np.arange(start - left, stop - left)] = -2.0
-                most = min(4 * k, right - left)
+            there = np.flatnonzero(home)
+            there = there[np.argsort(word[there], kind="stable")]
+            if not len(there):
+                continue
+            held, vectors, names = word[there], unit[there], ids[there]
+            low = vectors.astype(np.float32)
+            first, last = block_of(word, level)
+            left, right = np.searchsorted(held, first, "left"), np.searchsorted(held, last, "right")
+            order = np.lexsort((word, level))
+            for start in range(0, len(order), BLOCK):
+                some = order[start : start + BLOCK]
+                a, z = left[some].min(), right[some].max()
+                if a >= z:
+                    continue
+                sims = unit[some].astype(np.float32) @ low[a:z].T
+                sims[names[None, a:z] == ids[some, None]] = -2.0
+                most = min(4 * k, z - a)
                 near = np.argpartition(-sims, most - 1, axis=1)[:, :most]
-                exact = np.round(np.einsum("ik,ijk->ij", unit[start:stop], unit[left:right][near]), 6)
-                other = ids[left:right][near]
-                exact[other == ids[start:stop, None]] = -2.0
-                order = np.lexsort((other, -exact), axis=1)[:, :k]
-                exact, other = np.take_along_axis(exact, order, 1), np.take_along_axis(other, order, 1)
+                exact = np.round(np.einsum("ik,ijk->ij", unit[some], vectors[a:z][near]), 6)
+                other = names[a:z][near]
+                exact[other == ids[some, None]] = -2.0
+                best = np.lexsort((other, -exact), axis=1)[:, :k]
+                exact, other = np.take_along_axis(exact, best, 1), np.take_along_axis(other, best, 1)
                 keep = exact >= max(at_least, -1.5)
-                yield pd.DataFrame({"space": space, "id": ids[start:stop], "others": [o[m] for o, m in zip(other, keep)], "sims": [s[m] for s, m in zip(exact, keep)]})[keep.any(axis=1)]
+                yield pd.DataFrame({"space": space, "id": ids[some], "others": [o[m] for o, m in zip(other, keep)], "sims": [s[m] for s, m in zip(exact, keep)]})[keep.any(axis=1)]
 
     return run
 
@@ -105,14 +183,17 @@ def forest_neighbours(vectors: DataFrame, k: int = 5, at_least: float = -1.0, se
     """
     spark = vectors.sparkSession
     base = vectors.select("id", "space", F.transform("vec", lambda x: x.cast("float")).alias("vec"))
-    hashed = durable(base.mapInPandas(_hasher(seed), _INDEX))
+    sizes = {r[0]: r[1] for r in base.groupBy("space").count().collect()}
+    if not sizes:
+        return spark.createDataFrame([], "space string, id bigint, other bigint, similarity double, place int")
+    trees = trees_for(max(sizes.values()))
+    hashed = durable(base.mapInPandas(_hasher(seed, trees), _BASE))
     # Of equal vectors the k + 1 smallest ids are indexed; repeated rows of an id are copies as well.
     crowded = durable(hashed.df.groupBy("space", "copy").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1").drop("n"))
     surplus, index = None, hashed
     if crowded.df.limit(1).count():
-        marked = hashed.df.join(F.broadcast(crowded.df) if crowded.df.count() <= BROADCAST_KEYS else crowded.df, ["space", "copy"], "left")
-        sums = [F.first(f"h{t}").alias(f"h{t}") for t in range(TREES)]
-        members = durable(marked.where("first IS NOT NULL").groupBy("space", "copy", "id").agg(F.first("first").alias("first"), F.first("unit").alias("unit"), *sums))
+        marked = hashed.df.join(crowded.df, ["space", "copy"], "left")
+        members = durable(marked.where("first IS NOT NULL").groupBy("space", "copy", "id").agg(F.first("first").alias("first"), F.first("unit").alias("unit"), F.first("words").alias("words")))
         narrow = members.df.select("space", "copy", "id", "first", F.pmod(F.xxhash64("id"), F.lit(64)).alias("b"))
         cut = narrow.withColumn("r", F.row_number().over(Window.partitionBy("space", "copy", "b").orderBy("id"))).where(F.col("r") <= k + 1)
         kept = cut.withColumn("r", F.row_number().over(Window.partitionBy("space", "copy").orderBy("id"))).where(F.col("r") <= k + 1).select("space", "id")
@@ -120,13 +201,31 @@ def forest_neighbours(vectors: DataFrame, k: int = 5, at_least: float = -1.0, se
         surplus = durable(members.df.select("space", "id", "first").join(kept.df, ["space", "id"], "left_anti"))
         alone = marked.where("first IS NULL").select(hashed.df.columns)
         index = durable(alone.unionByName(members.df.join(kept.df, ["space", "id"]).select(hashed.df.columns)), drop=(hashed, members))
-    rows = index.df.count()
-    tasks = max(1, -(-rows // ROWS_A_TASK))  # no more ranges than that: a window ends where its range does
+    sizes = {r[0]: r[1] for r in index.df.groupBy("space").count().collect()}
+    # at most about SAMPLE rows: those whose hash is smallest, of spaces that are not searched whole
+    large = [n for n, rows in sizes.items() if rows > candidates(rows)]
+    total = sum(sizes[n] for n in large)
+    words: dict[str, list] = {n: [] for n in sizes}
+    if large:
+        share = min(1.0, SAMPLE / total)
+        chosen = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))
+        for name, row in index.df.where(F.col("space").isin(large) & chosen).select("space", "words").collect():
+            words[name].append(row)
+    spaces, bucket = {}, 0
+    for name in sorted(sizes):
+        spaces[name] = Space(sizes[name], np.array(words[name], np.int64).reshape(-1, trees).view(np.uint64), bucket)
+        bucket += spaces[name].buckets
+    known = spark.sparkContext.broadcast(spaces)
+    routed = durable(index.df.drop("copy").mapInPandas(_router(known), "id bigint, space string, unit binary, words array<bigint>, level int, whole boolean, own array<int>, low array<int>, high array<int>"), drop=(index,))
+    tasks = max(1, min(bucket, -(-sum(sizes.values()) // ROWS_A_TASK) * 2))
     lists = []
-    for t in range(TREES):
-        tree = index.df.select("id", "space", F.col(f"h{t}").alias("h"), "unit").repartitionByRange(tasks, "space", "h", "id")
+    for t in range(trees if large else 1):
+        rows = routed.df if t == 0 else routed.df.where("NOT whole")
+        visits = rows.select("id", "space", "level", "unit", F.col("words")[t].alias("word"), F.col("own")[t].alias("own"), F.explode(F.sequence(F.col("low")[t], F.col("high")[t])).alias("bucket"))
+        tree = visits.select("id", "space", "level", "unit", "word", "bucket", (F.col("own") == F.col("bucket")).alias("home")).repartition(tasks, "bucket")
         lists.append(durable(tree.mapInPandas(_search(k, at_least), "space string, id bigint, others array<bigint>, sims array<double>")))
         spark._jvm.System.gc()  # lets Spark remove the finished tree's shuffle files
+    routed.drop()
     merged = None
     for found in lists:
         one = found.df.select("space", "id", F.transform(F.arrays_zip("others", "sims"), lambda x: F.struct((-x["sims"]).alias("s"), x["others"].alias("o"))).alias("near"))
