@@ -9,8 +9,7 @@ each of them: the vector visits them as a query. No window cuts a block.
 
 Levels are found from sorted arrays of a sample (``SAMPLE`` rows at most, the only thing sent to all tasks): block sizes are the
 sample's, scaled up, and exact where the space is smaller than its sample. The sample decides only how far to ascend; every
-vector is indexed and searched for. A space of no more rows than candidates is one block (level 0), the same in all
-trees, and is searched in the first tree only.
+vector is indexed and searched for.
 
 The number of rows looked at grows with the square root of the space and the number of trees with its logarithm
 (``candidates``, ``trees_for``), so work and shuffle grow by n^1.5 log n at most.
@@ -34,7 +33,7 @@ from graphloom.common import durable
 TREES = 8
 BLOCK = 512
 REACH = 64
-SAMPLE = 65_536
+SAMPLE = 16_384
 ROWS_A_TASK = 16_384
 DEEPEST = 40
 _BASE = "id bigint, space string, unit binary, copy binary, words array<bigint>"
@@ -88,15 +87,14 @@ class Space:
     def __init__(self, rows: int, words: np.ndarray, first_bucket: int) -> None:
         self.rows, self.first = rows, first_bucket
         self.words = np.sort(words, axis=0)
-        self.whole = rows <= candidates(rows) or not len(words)
-        self.buckets = 1 if self.whole else -(-rows // ROWS_A_TASK)
+        self.buckets = -(-rows // ROWS_A_TASK) if len(words) else 1
         self.borders = self.words[(np.arange(1, self.buckets) * len(words)) // self.buckets]
 
     def levels(self, words: np.ndarray) -> np.ndarray:
         """The longest prefix at which the blocks of all trees hold enough rows, by bisection; 0 is the whole space."""
         n = len(words)
-        if self.whole:
-            return np.zeros(n, np.int64)
+        if not len(self.words):
+            return np.zeros(n, np.int64)  # the sample has none of its few rows: all are one block
         enough = candidates(self.rows) * len(self.words) / self.rows
         low, high = np.zeros(n, np.int64), np.full(n, DEEPEST, np.int64)
         while (low < high).any():
@@ -119,13 +117,12 @@ def _router(spaces):
                 space = known[name]
                 words = np.stack(part["words"].to_numpy()).astype(np.int64).view(np.uint64)
                 levels = space.levels(words)
-                out = {"level": levels.astype(np.int32), "whole": space.whole}
                 own, low, high = (np.zeros(words.shape, np.int32) for _ in range(3))
                 for t in range(words.shape[1]):
                     first, last = block_of(words[:, t], levels)
                     for target, key in ((own, words[:, t]), (low, first), (high, last)):
                         target[:, t] = space.first + np.searchsorted(space.borders[:, t], key, "right")
-                yield part.assign(**out, own=list(own), low=list(low), high=list(high))
+                yield part.assign(level=levels.astype(np.int32), own=list(own), low=list(low), high=list(high))
 
     return run
 
@@ -202,26 +199,21 @@ def forest_neighbours(vectors: DataFrame, k: int = 5, at_least: float = -1.0, se
         alone = marked.where("first IS NULL").select(hashed.df.columns)
         index = durable(alone.unionByName(members.df.join(kept.df, ["space", "id"]).select(hashed.df.columns)), drop=(hashed, members))
     sizes = {r[0]: r[1] for r in index.df.groupBy("space").count().collect()}
-    # at most about SAMPLE rows: those whose hash is smallest, of spaces that are not searched whole
-    large = [n for n, rows in sizes.items() if rows > candidates(rows)]
-    total = sum(sizes[n] for n in large)
+    # about SAMPLE rows, whatever the table's size: those whose hash is smallest
     words: dict[str, list] = {n: [] for n in sizes}
-    if large:
-        share = min(1.0, SAMPLE / total)
-        chosen = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))
-        for name, row in index.df.where(F.col("space").isin(large) & chosen).select("space", "words").collect():
-            words[name].append(row)
+    chosen = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 30)) < F.lit(int(min(1.0, SAMPLE / sum(sizes.values())) * (1 << 30)))
+    for name, row in index.df.where(chosen).select("space", "words").collect():
+        words[name].append(row)
     spaces, bucket = {}, 0
     for name in sorted(sizes):
         spaces[name] = Space(sizes[name], np.array(words[name], np.int64).reshape(-1, trees).view(np.uint64), bucket)
         bucket += spaces[name].buckets
     known = spark.sparkContext.broadcast(spaces)
-    routed = durable(index.df.drop("copy").mapInPandas(_router(known), "id bigint, space string, unit binary, words array<bigint>, level int, whole boolean, own array<int>, low array<int>, high array<int>"), drop=(index,))
+    routed = durable(index.df.drop("copy").mapInPandas(_router(known), "id bigint, space string, unit binary, words array<bigint>, level int, own array<int>, low array<int>, high array<int>"), drop=(index,))
     tasks = max(1, min(bucket, -(-sum(sizes.values()) // ROWS_A_TASK) * 2))
     lists = []
-    for t in range(trees if large else 1):
-        rows = routed.df if t == 0 else routed.df.where("NOT whole")
-        visits = rows.select("id", "space", "level", "unit", F.col("words")[t].alias("word"), F.col("own")[t].alias("own"), F.explode(F.sequence(F.col("low")[t], F.col("high")[t])).alias("bucket"))
+    for t in range(trees):
+        visits = routed.df.select("id", "space", "level", "unit", F.col("words")[t].alias("word"), F.col("own")[t].alias("own"), F.explode(F.sequence(F.col("low")[t], F.col("high")[t])).alias("bucket"))
         tree = visits.select("id", "space", "level", "unit", "word", "bucket", (F.col("own") == F.col("bucket")).alias("home")).repartition(tasks, "bucket")
         lists.append(durable(tree.mapInPandas(_search(k, at_least), "space string, id bigint, others array<bigint>, sims array<double>")))
         spark._jvm.System.gc()  # lets Spark remove the finished tree's shuffle files
