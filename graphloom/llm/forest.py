@@ -32,7 +32,7 @@ from graphloom.common import durable
 
 TREES = 8
 BLOCK = 512
-REACH = 64
+REACH = 32
 SAMPLE = 16_384
 ROWS_A_TASK = 16_384
 DEEPEST = 40
