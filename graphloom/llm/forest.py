@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -127,20 +128,36 @@ def _router(spaces):
     return run
 
 
+_FOUND = pa.schema([("space", pa.string()), ("id", pa.int64()), ("others", pa.list_(pa.int64())), ("sims", pa.list_(pa.float64()))])
+
+
+def _vectors(column: pa.Array) -> np.ndarray:
+    """The equally long vectors of a binary column as one matrix, without a loop over rows."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(np.float32).reshape(len(column), -1)
+
+
 def _search(k: int, at_least: float):
     """Kernel over the buckets of a tree: (space, id) -> the best k of what the buckets hold of its block."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        whole = [b for b in batches if len(b)]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = [b for b in batches if b.num_rows]
         if not whole:
             return
-        rows = pd.concat(whole, ignore_index=True)
-        for (_, space), part in rows.groupby(["bucket", "space"], sort=False):
-            word = part["word"].to_numpy().astype(np.int64).view(np.uint64)
-            level = part["level"].to_numpy().astype(np.int64)
-            ids, home = part["id"].to_numpy(), part["home"].to_numpy()
-            raw = np.stack([np.frombuffer(u, np.float32) for u in part["unit"]]).astype(np.float64)
-            unit = raw / np.linalg.norm(raw, axis=1, keepdims=True)
+        rows = pa.Table.from_batches(whole)
+        codes = rows.column("space").combine_chunks().dictionary_encode().indices.to_numpy()
+        bucket = rows.column("bucket").to_numpy()
+        by = np.lexsort((codes, bucket))
+        rows = rows.take(pa.array(by)).combine_chunks()
+        ends = np.flatnonzero(np.append((np.diff(bucket[by]) != 0) | (np.diff(codes[by]) != 0), True)) + 1
+        for begin, end in zip([0, *ends[:-1]], ends):
+            part = rows.slice(begin, end - begin).to_batches()[0]
+            column = lambda name: part.column(part.schema.get_field_index(name))  # noqa: E731, B023
+            word = column("word").to_numpy().view(np.uint64)
+            level = column("level").to_numpy().astype(np.int64)
+            ids, home = column("id").to_numpy(), column("home").to_numpy(zero_copy_only=False)
+            unit = _vectors(column("unit")).astype(np.float64)
+            unit /= np.linalg.norm(unit, axis=1, keepdims=True)
             there = np.flatnonzero(home)
             there = there[np.argsort(word[there], kind="stable")]
             if not len(there):
@@ -150,6 +167,7 @@ def _search(k: int, at_least: float):
             first, last = block_of(word, level)
             left, right = np.searchsorted(held, first, "left"), np.searchsorted(held, last, "right")
             order = np.lexsort((word, level))
+            space = column("space")[0].as_py()
             for start in range(0, len(order), BLOCK):
                 some = order[start : start + BLOCK]
                 a, z = left[some].min(), right[some].max()
@@ -165,7 +183,10 @@ def _search(k: int, at_least: float):
                 best = np.lexsort((other, -exact), axis=1)[:, :k]
                 exact, other = np.take_along_axis(exact, best, 1), np.take_along_axis(other, best, 1)
                 keep = exact >= max(at_least, -1.5)
-                yield pd.DataFrame({"space": space, "id": ids[some], "others": [o[m] for o, m in zip(other, keep)], "sims": [s[m] for s, m in zip(exact, keep)]})[keep.any(axis=1)]
+                any_kept = keep.any(axis=1)
+                offsets = pa.array(np.append(0, np.cumsum(keep[any_kept].sum(1))), pa.int32())
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(x[keep])) for x in (other, exact)]
+                yield pa.RecordBatch.from_arrays([pa.array([space] * int(any_kept.sum()), pa.string()), pa.array(ids[some][any_kept]), *lists], schema=_FOUND)
 
     return run
 
@@ -215,7 +236,7 @@ def forest_neighbours(vectors: DataFrame, k: int = 5, at_least: float = -1.0, se
     for t in range(trees):
         visits = routed.df.select("id", "space", "level", "unit", F.col("words")[t].alias("word"), F.col("own")[t].alias("own"), F.explode(F.sequence(F.col("low")[t], F.col("high")[t])).alias("bucket"))
         tree = visits.select("id", "space", "level", "unit", "word", "bucket", (F.col("own") == F.col("bucket")).alias("home")).repartition(tasks, "bucket")
-        lists.append(durable(tree.mapInPandas(_search(k, at_least), "space string, id bigint, others array<bigint>, sims array<double>")))
+        lists.append(durable(tree.mapInArrow(_search(k, at_least), "space string, id bigint, others array<bigint>, sims array<double>")))
         spark._jvm.System.gc()  # lets Spark remove the finished tree's shuffle files
     routed.drop()
     merged = None
