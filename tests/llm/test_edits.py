@@ -31,7 +31,7 @@ def test_short_copies(spark):
 def test_edits_are_found_by_the_index(spark):
     body = lambda own: "function f(x) {\n" + "".join(f"    h{chr(97 + k)}({own if k == 3 else k});\n" for k in range(20)) + "    return x;\n}\n"
     # one in a vendor folder and two edited copies elsewhere make three repositories; of the other program there are only two
-    files = [("a/vendor/l.js", body("'a'")), ("b/src/m.js", body("'b'")), ("c/src/n.js", body("'c'"))]
+    files = [("a/vendor/l.js", body("aa")), ("b/src/m.js", body("bb")), ("c/src/n.js", body("cc"))]
     files += [("a/vendor/z.js", body("1").replace("h", "g")), ("d/z.js", body("2").replace("h", "g")), ("e/own.js", "let x = 1;\nlet y = 2;\nlet z = 3;\nlet w = 4;\n")]
     df = spark.createDataFrame([(p, bytearray(t.encode())) for p, t in files], "path string, content binary")
     ext = spark.createDataFrame([(".js", "javascript")], "ext string, language string")
