@@ -5,7 +5,10 @@ mixture of full-covariance Gaussians is fitted to all of them by expectation-max
 round sums the sufficient statistics per partition and then by key, so the driver sees one fixed
 number of sums whatever the corpus holds. Only the starting centres come from a bounded sample
 (``START_ROWS``). Components get the name (prose, list, table, junk) of the inspected examples they
-explain best.
+explain best, and the posterior alone decides: a document whose likeliest kind is not prose is named.
+
+For the mixture ``running`` goes through a logistic curve around one half (``SLOPE``), which makes its two ends two narrow peaks and
+leaves little between them; no threshold on it is applied.
 
 ``running`` is the share of non-blank characters in running sentences. A line that opens with list,
 table, heading or template markup holds none; other lines are joined where they were hard-wrapped
@@ -21,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.common import durable
@@ -138,6 +141,25 @@ def document_statistics(documents: DataFrame, doc_id: str = "doc_id", text: str
     return rows.mapInArrow(_profiles, "doc_id bigint, x array<double>")
 
 
+#: Steepness of the logistic curve that ``running`` goes through for the mixture.
+SLOPE = 24.0
+#: Greatest deviation of a component along the curve.
+SPREAD = 0.05
+_RUNNING = FEATURES.index("running")
+
+
+def inputs(x: np.ndarray) -> np.ndarray:
+    """Statistics as the mixture sees them."""
+    out = np.array(x, float)
+    out[:, _RUNNING] = 1 / (1 + np.exp(-SLOPE * (out[:, _RUNNING] - 0.5)))
+    return out
+
+
+def _input(k: int) -> Column:
+    x = F.col("x")[k]
+    return 1 / (1 + F.exp(-SLOPE * (x - 0.5))) if k == _RUNNING else x
+
+
 class Mixture:
     """Weights, means and covariances of a Gaussian mixture over standardised statistics."""
 
@@ -145,7 +167,7 @@ class Mixture:
         self.shift, self.scale, self.weights, self.means, self.covariances = shift, scale, weights, means, covariances
 
     def log_joint(self, x: np.ndarray) -> np.ndarray:
-        z = (x - self.shift) / self.scale
+        z = (inputs(x) - self.shift) / self.scale
         out = np.empty((len(z), len(self.weights)))
         for k, (w, m, c) in enumerate(zip(self.weights, self.means, self.covariances)):
             low = np.linalg.cholesky(c)
@@ -175,7 +197,7 @@ def _sums(model: Mixture):
             r = np.exp(joint - top)
             total[-1] += (top[:, 0] + np.log(r.sum(1))).sum()
             r /= r.sum(1, keepdims=True)
-            z = (x - model.shift) / model.scale
+            z = (inputs(x) - model.shift) / model.scale
             for i in range(k):
                 at = i * (1 + d + d * d)
                 total[at] += r[:, i].sum()
@@ -186,19 +208,31 @@ def _sums(model: Mixture):
     return run
 
 
+def _narrow(covariances: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Covariances whose deviation along ``running`` is SPREAD at most, so that no component covers both of its ends."""
+    covariances = covariances.copy()
+    most = SPREAD / scale[_RUNNING]
+    shrink = np.minimum(1.0, most / np.sqrt(covariances[:, _RUNNING, _RUNNING]))
+    covariances[:, _RUNNING, :] *= shrink[:, None]
+    covariances[:, :, _RUNNING] *= shrink[:, None]
+    return covariances
+
+
 def fit_mixture(stats: DataFrame, components: int = COMPONENTS, rounds: int = ROUNDS, start_rows: int = START_ROWS, seed: int = 3) -> Mixture | None:
     """EM over all rows of ``stats`` (a written table); None if there are none.
 
-    ``start_rows``: how many rows (those of smallest hash) the starting centres are chosen from.
+    ``start_rows``: about how many rows (those of smallest hash) the starting centres are chosen from.
     """
     d = len(FEATURES)
-    moments = stats.agg(F.count("*"), *[f for k in range(d) for f in (F.avg(F.col("x")[k]), F.stddev_pop(F.col("x")[k]))]).first()
+    moments = stats.agg(F.count("*"), *[f for k in range(d) for f in (F.avg(_input(k)), F.stddev_pop(_input(k)))]).first()
     if not moments[0]:
         return None
     shift = np.array(moments[1::2], float)
     scale = np.maximum(np.array(moments[2::2], float), 1e-3)
-    start = stats.select("x", F.xxhash64("doc_id").alias("h")).orderBy("h").limit(start_rows).select("x").collect()
-    z = (np.array([r[0] for r in start]) - shift) / scale
+    share = min(1.0, start_rows / moments[0])
+    chosen = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) <= F.lit(int(share * (1 << 30)))
+    start = [r[0] for r in stats.where(chosen).select("x").collect()] or [stats.select("x").first()[0]]
+    z = (inputs(np.array(start)) - shift) / scale
     rng = np.random.default_rng(seed)
     centres = [z[rng.integers(len(z))]]
     while len(centres) < components:  # far points first
@@ -208,7 +242,7 @@ def fit_mixture(stats: DataFrame, components: int = COMPONENTS, rounds: int = RO
     for _ in range(10):  # a few k-means steps on the sample
         near = ((z[:, None] - means[None]) ** 2).sum(2).argmin(1)
         means = np.array([z[near == k].mean(0) if (near == k).any() else means[k] for k in range(components)])
-    model = Mixture(shift, scale, np.full(components, 1 / components), means, np.array([np.eye(d)] * components))
+    model = Mixture(shift, scale, np.full(components, 1 / components), means, _narrow(np.array([np.eye(d)] * components), scale))
     last, size = -np.inf, 1 + d + d * d
     for _ in range(rounds):
         rows = stats.select("x").mapInArrow(_sums(model), "slot int, value double").groupBy("slot").agg(F.sum("value").alias("value")).collect()
@@ -221,7 +255,7 @@ def fit_mixture(stats: DataFrame, components: int = COMPONENTS, rounds: int = RO
         covariances = parts[:, 1 + d :].reshape(components, d, d) / n[:, None, None] - means[:, :, None] * means[:, None, :]
         dead = parts[:, 0] < 1e-6
         means[dead], covariances[dead] = model.means[dead], np.eye(d)
-        covariances = (covariances + covariances.transpose(0, 2, 1)) / 2 + FLOOR * np.eye(d)
+        covariances = _narrow((covariances + covariances.transpose(0, 2, 1)) / 2 + FLOOR * np.eye(d), scale)
         weights = np.maximum(n / n.sum(), 1e-12)
         model = Mixture(shift, scale, weights / weights.sum(), means, covariances)
         if total[-1] - last < 1e-4 * moments[0]:
@@ -261,9 +295,8 @@ def name_components(model: Mixture) -> list[str]:
     x = np.array([profile(t) for _, t in EXAMPLES])
     kinds = [k for k, _ in EXAMPLES]
     shares, names = model.shares(x), []
-    z = (x - model.shift) / model.scale
-    at = FEATURES.index("running")
-    running = model.means[:, at] * model.scale[at] + model.shift[at]
+    z = (inputs(x) - model.shift) / model.scale
+    running = model.means[:, _RUNNING] * model.scale[_RUNNING] + model.shift[_RUNNING]
     for k in range(len(model.weights)):
         votes: dict[str, float] = {}
         for kind, share in zip(kinds, shares[:, k]):
@@ -296,12 +329,7 @@ def classify(stats: DataFrame, model: Mixture | None) -> DataFrame:
     return stats.select("doc_id", "x").mapInArrow(run, schema)
 
 
-def not_prose(documents: DataFrame, sure: float = 1 - 1e-6) -> DataFrame:
-    """(doc_id, kind): documents that are not natural prose.
-
-    The mixture proposes every document that is not prose beyond doubt (posterior below ``sure``);
-    the exact check is that running sentences hold less than half of its non-blank characters.
-    """
+def not_prose(documents: DataFrame) -> DataFrame:
+    """(doc_id, kind): documents of which the mixture's components that are not prose explain more than half."""
     stats = durable(document_statistics(documents)).df
-    found = classify(stats, fit_mixture(stats))
-    return found.where((F.col("prose") < sure) & (F.col("x")[FEATURES.index("running")] < 0.5)).select("doc_id", "kind")
+    return classify(stats, fit_mixture(stats)).where("prose < 0.5").select("doc_id", F.when(F.col("kind") == "prose", "junk").otherwise(F.col("kind")).alias("kind"))
