@@ -134,18 +134,28 @@ def page_rank(nodes: DataFrame, edges: DataFrame, rounds: int = 30, damping: flo
 
 
 def chain_depths(parents: DataFrame) -> DataFrame:
-    """(id, depth, top): parent steps from each child of (child, parent), cut at the first revisit; by doubling.
+    """(id, depth, top): steps from each child of (child, parent) to the last node it can reach, cut at the first revisit.
 
-    A node on or above a loop never ends: its depth is the number of distinct nodes it visits, less one.
+    A chain that runs into a loop ends with the step back to a node it has been at: its depth is the number of distinct nodes it
+    visits, and top is that node. Loops are cut at their nodes, so that chains above them are trees as well.
     """
     from graphloom.operators.hierarchy import hierarchy
 
-    tree = hierarchy(parents.select(F.col("parent").alias("src"), F.col("child").alias("dst"), F.lit("contains").alias("kind"), F.lit(0).cast("bigint").alias("ord")))
-    return tree.select(F.col("node").alias("id"), "depth", F.col("root").alias("top"))
+    links = durable(parents.select(F.col("parent").alias("src"), F.col("child").alias("dst"), F.lit("contains").alias("kind"), F.lit(0).cast("bigint").alias("ord")))
+    tree = durable(hierarchy(links.df).select("node", "depth", "root"))
+    plain = tree.df.where("depth >= 0").select(F.col("node").alias("id"), "depth", F.col("root").alias("top"))
+    if not tree.df.where("depth < 0").limit(1).count():
+        return plain
+    on_loop = durable(tree.df.where("depth = -1").select("node", "root"))
+    sizes = on_loop.df.groupBy("root").agg(F.count("*").cast("int").alias("around"))
+    around = durable(on_loop.df.join(sizes, "root").select(F.col("node").alias("top"), "around"))
+    looped = around.df.select(F.col("top").alias("id"), F.col("around").alias("depth"), "top")
+    above = hierarchy(links.df.join(on_loop.df.select(F.col("node").alias("dst")), "dst", "left_anti")).where("depth > 0").select(F.col("node").alias("id"), "depth", F.col("root").alias("top"))
+    return plain.unionByName(looped).unionByName(above.join(around.df, "top").select("id", (F.col("depth") + F.col("around")).alias("depth"), "top"))
 
 
 def deep_inheritance(g: Graph, threshold: int = 5) -> DataFrame:
-    """Types at the end of an inheritance chain of at least ``threshold`` steps (loops left out)."""
+    """Types at the end of an inheritance chain of at least ``threshold`` steps; one that runs into a loop ends at the first revisit."""
     chain = chain_depths(g.last_parent(["inherits", "implements"]).where("child <> parent"))
     return chain.where(F.col("depth") >= threshold).orderBy(F.col("depth").desc(), "id")
 

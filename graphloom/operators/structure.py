@@ -66,10 +66,10 @@ def main_sequence(g: Graph, least: float = 0.1) -> DataFrame:
 
 #: Ranks of layers by folder name (fixed values).
 LAYERS = {
-    "handler": 0, "handlers": 0, "controller": 0, "controllers": 0, "api": 0, "routes": 0, "view": 0, "views": 0, "ui": 0,
-    "service": 1, "services": 1, "usecase": 1, "usecases": 1, "application": 1,
-    "domain": 2, "model": 2, "models": 2, "entity": 2, "entities": 2,
-    "repository": 3, "store": 3, "db": 3,
+    "handler": 0, "handlers": 0, "controller": 0, "controllers": 0, "api": 0, "route": 0, "routes": 0, "cmd": 0,
+    "service": 1, "services": 1, "usecase": 1, "usecases": 1, "domain": 1,
+    "model": 2, "models": 2, "entity": 2, "entities": 2,
+    "repo": 3, "repository": 3, "store": 3, "db": 3, "database": 3, "infra": 3, "infrastructure": 3,
 }
 
 

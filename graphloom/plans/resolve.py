@@ -61,7 +61,7 @@ def nearest_definitions(references: DataFrame, symbols: DataFrame, imports: Data
 
     First a definition in the same file; else the candidates of that name or scope whose path holds the imported module
     (near the file first, then anywhere; without a match the import says nothing), of those the nearest by folders, ties to
-    the smaller id; else a dangling file::name. ``imports``: file_path, name, module (the last import of a name counts).
+    the smaller id; else a dangling file::name. ``imports``: file_path, name, module, ord (the last import of a name counts, ties by module).
     """
     refs = references.select("file_path", "name").distinct()
     own = first_definitions(symbols)
@@ -72,7 +72,8 @@ def nearest_definitions(references: DataFrame, symbols: DataFrame, imports: Data
     if imports is None:
         rest = rest.withColumn("module", F.lit(None).cast("string"))
     else:
-        rest = rest.join(imports.select("file_path", "name", "module").dropDuplicates(["file_path", "name"]), ["file_path", "name"], "left")
+        last = imports.groupBy("file_path", "name").agg(F.max(F.struct("ord", "module"))["module"].alias("module"))
+        rest = rest.join(last, ["file_path", "name"], "left")
     home = folder_of(F.col("file_path"))
     relative = F.col("module").startswith(".")
     plain = F.regexp_replace(F.regexp_replace("module", r"^[./]+", ""), r"[.]", "/")
@@ -87,8 +88,11 @@ def nearest_definitions(references: DataFrame, symbols: DataFrame, imports: Data
 
 
 def module_contains(symbols: DataFrame) -> DataFrame:
-    """(src, dst, kind): a module contains every symbol of its folder and extension that is no module itself."""
-    rows = symbols.withColumn("_d", folder_of(F.col("file_path"))).withColumn("_e", extension_of(F.col("file_path")))
+    """(src, dst, kind): a module contains every symbol of its folder and extension that is no module itself.
+
+    Of modules of one name in a folder only the first (``drop_repeated_modules``) stands for all of them.
+    """
+    rows = drop_repeated_modules(symbols).withColumn("_d", folder_of(F.col("file_path"))).withColumn("_e", extension_of(F.col("file_path")))
     modules = rows.where("category = 'module'").select("_d", "_e", F.col("gid").alias("src"))
     return modules.join(rows.where("category <> 'module'").select("_d", "_e", F.col("gid").alias("dst")), ["_d", "_e"]).select("src", "dst", F.lit("contains").alias("kind"))
 

@@ -89,9 +89,10 @@ SELECT id, least(id, min(other)) AS component FROM mutual GROUP BY id"""
 _graph_query("cyclic_dependencies", lambda g: iterate.strong_components(g.uses), _SCC.format(links="u"))
 _graph_query("circular_packages", lambda g: iterate.strong_components(g.package_edges()), _SCC.format(links="pe"))
 _graph_query("weak_components", iterate.weak_components, """
-b AS (SELECT DISTINCT src, dst FROM e WHERE src <> dst UNION SELECT dst, src FROM e WHERE src <> dst)
-SELECT component, members FROM (SELECT NULL AS component, NULL AS members) WHERE false""")
-del SQL["weak_components"]  # its closure is quadratic in the giant component; tested against union-find on a fixture
+b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e UNION SELECT id, id FROM sym),
+lab AS (SELECT 0 AS it, id, id AS low FROM sym UNION ALL SELECT it + 1, dst, min(low) FROM lab JOIN b ON b.src = lab.id WHERE it < 40 GROUP BY it, dst),
+sizes AS (SELECT low AS component, count(*) AS members FROM lab WHERE it = 40 GROUP BY low)
+SELECT component, members FROM sizes WHERE (SELECT count(*) FROM sizes) > 1""")
 _graph_query("transitive_fan_in", iterate.transitive_fan_in, _REACH.format(links="u") + """, t AS (SELECT dst AS id, count(*) AS transitive FROM reach WHERE src <> dst GROUP BY dst)
 SELECT f.id, CAST(fan_in AS BIGINT) AS fan_in, transitive FROM fan f JOIN t ON t.id = f.id WHERE fan_in > 0 AND transitive > fan_in""")
 _graph_query("unreachable", lambda g: iterate.unreachable(g, g.symbols.where("category = 'module'").select("id")), """
@@ -102,9 +103,9 @@ SELECT id, kind FROM sym WHERE category <> 'module' AND id NOT IN (SELECT id FRO
 _graph_query("entry_points", iterate.entry_points, r""" SELECT id FROM sym WHERE lower(name) IN ('main', 'app', 'init') OR (regexp_matches(regexp_extract(file_path, '([^/]*)$', 1), '^(main|app|index|server)\.') AND category IN ('callable', 'type'))""")
 _graph_query("deep_inheritance", lambda g: iterate.deep_inheritance(g, 2), """
 par AS (SELECT child, parent FROM (SELECT src AS child, dst AS parent, row_number() OVER (PARTITION BY src ORDER BY ord DESC, dst DESC) AS r FROM u WHERE kind IN ('inherits', 'implements')) WHERE r = 1 AND child <> parent),
-ch AS (SELECT child AS id, parent AS up FROM par UNION SELECT ch.id, par.parent FROM ch JOIN par ON par.child = ch.up),
-bad AS (SELECT DISTINCT c1.id FROM ch c1 JOIN ch c2 ON c2.id = c1.up AND c2.up = c1.up UNION SELECT id FROM ch WHERE id = up)
-SELECT id, CAST(count(*) AS INTEGER) AS depth, max(CASE WHEN up NOT IN (SELECT child FROM par) THEN up END) AS top FROM ch WHERE id NOT IN (SELECT id FROM bad) GROUP BY id HAVING count(*) >= 2""")
+w AS (SELECT child AS id, parent AS cur, [child] AS seen, 1 AS depth FROM par
+  UNION ALL SELECT w.id, par.parent, list_append(w.seen, w.cur), w.depth + 1 FROM w JOIN par ON par.child = w.cur WHERE NOT list_contains(w.seen, w.cur))
+SELECT id, CAST(max(depth) AS INTEGER) AS depth, arg_max(cur, depth) AS top FROM w GROUP BY id HAVING max(depth) >= 2""")
 _graph_query("containment_depth", lambda g: iterate.containment_depth(g, 1), """
 k AS (SELECT DISTINCT c.src, c.dst FROM c JOIN sym s ON s.id = c.dst WHERE s.category IN ('type', 'callable')),
 w AS (SELECT DISTINCT src AS id, 0 AS depth FROM c WHERE src NOT IN (SELECT dst FROM c) UNION SELECT k.dst, w.depth + 1 FROM w JOIN k ON k.src = w.id WHERE w.depth < 400)
@@ -223,7 +224,8 @@ SQL["first_definitions"] = _NAMED + "SELECT file_path, name, arg_min(gid, ord) A
 QUERIES["module_dedup"] = lambda spark, folder: resolve.drop_repeated_modules(_named(spark, folder)).where("category = 'module'").select("gid")
 SQL["module_dedup"] = _NAMED + "SELECT gid FROM (SELECT gid, row_number() OVER (PARTITION BY dir, name ORDER BY file_path, ord) AS r FROM s WHERE category = 'module') WHERE r = 1"
 QUERIES["module_contains"] = lambda spark, folder: resolve.module_contains(_named(spark, folder))
-SQL["module_contains"] = _NAMED + "SELECT m.gid AS src, x.gid AS dst, 'contains' AS kind FROM s m JOIN s x ON m.dir = x.dir AND m.ext = x.ext WHERE m.category = 'module' AND x.category <> 'module'"
+SQL["module_contains"] = _NAMED + """, m AS (SELECT *, row_number() OVER (PARTITION BY dir, name ORDER BY file_path, ord) AS r FROM s WHERE category = 'module')
+SELECT m.gid AS src, x.gid AS dst, 'contains' AS kind FROM m JOIN s x ON m.dir = x.dir AND m.ext = x.ext WHERE m.r = 1 AND x.category <> 'module'"""
 
 
 def nearest_definition(spark: SparkSession, folder: str) -> DataFrame:
@@ -270,8 +272,8 @@ QUERIES["scanned_files"] = scanned_files
 SQL["scanned_files"] = r"""
 SELECT DISTINCT path FROM source_files WHERE path IS NOT NULL AND regexp_extract(path, '(\.[^./]*)$', 1) IN (SELECT ext FROM scanner_extensions)
 AND NOT regexp_matches(path, '(^|/)(\.git|\.hg|\.svn|node_modules|__pycache__|\.tox|\.mypy_cache|\.pytest_cache|\.venv|venv)/') AND NOT regexp_matches(path, '(^|/)(__tests__|test|tests|spec|specs)/')
-AND NOT regexp_matches(path, '[^/]*\.(test|spec)\.[^/]*$') AND NOT regexp_matches(path, '(/|^)test_[^/]*\.(py|rb)$') AND NOT regexp_matches(path, '_test\.(py|rb|go|c|cpp|rs)$') AND NOT regexp_matches(path, '_spec\.rb$')
-AND NOT regexp_matches(path, '(Test|Tests|Spec|Suite)\.(java|scala)$') AND NOT regexp_matches(path, '(Test|Tests|Spec)\.cs$') AND NOT regexp_matches(path, '(Test|Spec)\.php$')"""
+AND NOT regexp_matches(path, '[^/]*\.(test|spec)\.[^/]*$') AND NOT regexp_matches(path, '(/|^)test_[^/]*\.(py|pyi|rb)$') AND NOT regexp_matches(path, '_test\.(py|pyi|rb|go|c|h|cpp|hpp|cc|cxx|hxx|rs)$') AND NOT regexp_matches(path, '_spec\.rb$')
+AND NOT regexp_matches(path, '(Test|Tests|Spec|Suite)\.(java|scala|sc)$') AND NOT regexp_matches(path, '(Test|Tests|Spec)\.cs$') AND NOT regexp_matches(path, '(Test|Spec)\.php$')"""
 
 
 def extracted_symbols(spark: SparkSession, folder: str) -> DataFrame:
@@ -335,6 +337,19 @@ def flat_blocks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES["dictionary"], QUERIES["flat_blocks"] = dictionary, flat_blocks
+SQL["flat_blocks"] = _NAMED + """
+, b AS (SELECT file_path, lines, row_number() OVER (ORDER BY file_path) AS k FROM (SELECT file_path, count(*) + 1 AS lines FROM s GROUP BY file_path)),
+fill AS (SELECT k, 1 + lines AS n, 0 AS part FROM b WHERE k = 1 UNION ALL
+  SELECT b.k, CASE WHEN fill.n > 1 AND fill.n + b.lines + 2 > 500 THEN 1 + b.lines ELSE fill.n + b.lines END, CASE WHEN fill.n > 1 AND fill.n + b.lines + 2 > 500 THEN fill.part + 1 ELSE fill.part END
+  FROM fill JOIN b ON b.k = fill.k + 1)
+SELECT file_path, lines, CAST(part AS BIGINT) AS part FROM b JOIN fill USING (k)"""
+SQL["symbol_lines"] = _NAMED + r"""
+, p AS (SELECT file_path, ord, 'S' || row_number() OVER (ORDER BY file_path, ord) AS sid FROM s),
+x AS (SELECT file_path, ord, category, kind, span.start AS a, span."end" AS z, trim(regexp_replace(signature, '\s+', ' ', 'g')) AS sig,
+  list_aggregate(list_transform(list_sort(map_keys(properties)), lambda k: CASE WHEN properties[k] = 'true' THEN k ELSE k || '=' || coalesce(properties[k], '') END), 'string_agg', ' ') AS props,
+  row_number() OVER (PARTITION BY file_path, ord ORDER BY id) AS r FROM symbols WHERE id <> '' AND file_path <> '' AND name IS NOT NULL)
+SELECT file_path, ord, concat_ws(' ', sid, concat_ws('/', category, kind), CASE WHEN a = z THEN 'L' || a ELSE 'L' || a || '-L' || z END, nullif(sig, ''), CASE WHEN props <> '' THEN '{' || props || '}' END) AS line
+FROM p JOIN x USING (file_path, ord) WHERE r = 1""".replace("\\\\", "\\")
 
 # -- token streams and vectors --------------------------------------------------------------------------
 

@@ -55,18 +55,41 @@ def dictionary(tokens: DataFrame, limit: int = 100_000) -> DataFrame:
     return tokens.sparkSession.createDataFrame(rows, "code string, token string")
 
 
+def running(df: DataFrame, by: str, value: Column, out: str) -> DataFrame:
+    """Adds the sum of ``value`` over all rows before a row in the order of ``by`` (unique), by ranges: no task sees all rows."""
+    ranged = durable(df.withColumn("_v", value).repartitionByRange(by).withColumn("_p", F.spark_partition_id())).df
+    inside = F.coalesce(F.sum("_v").over(Window.partitionBy("_p").orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = ranged.groupBy("_p").agg(F.sum("_v").alias("_s"))  # one row per partition
+    starts = parts.select("_p", F.coalesce(F.sum("_s").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
+    return ranged.withColumn("_i", inside).join(F.broadcast(starts), "_p").withColumn(out, F.col("_b") + F.col("_i")).drop("_v", "_p", "_i", "_b")
+
+
 def flat_blocks(blocks: DataFrame, most: int = NO_LINES) -> DataFrame:
-    """(file_path, lines, part): file blocks in order, filled greedily into numbered parts of at most ``most`` lines; none is split.
+    """(file_path, lines, part): file blocks in order, filled greedily into parts of at most ``most`` lines, numbered from 0.
 
-    Next-fit by a running sum per range: parts are cut where the running line count of the sorted blocks passes a multiple of
-    ``most``, which keeps order and never splits, and needs no single sequential task.
+    A part opens with a line of its own, and a block joins it if two more lines still fit behind it; a block longer than a
+    part stands alone. Where a part that starts at a block ends follows from running sums alone, so the next start of every
+    block is known at once, and doubling these steps marks the starts in logarithmically many rounds.
     """
-    ranged = blocks.repartitionByRange("file_path").withColumn("p", F.spark_partition_id())
-    run = F.sum("lines").over(Window.partitionBy("p").orderBy("file_path"))
-    rows = ranged.withColumn("local", F.floor((run - 1) / most).cast("bigint"))
-    parts = rows.groupBy("p").agg(F.max("local").alias("m"))
-    start = F.coalesce(F.sum(F.col("m") + 1).over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.join(F.broadcast(parts.select("p", start.alias("b"))), "p").select("file_path", "lines", (F.col("b") + F.col("local")).alias("part"))
+    room = most - 3
+    placed = running(blocks.select("file_path", "lines"), "file_path", F.lit(1), "pos")
+    placed = durable(running(placed, "file_path", F.col("lines"), "before").withColumn("bucket", F.floor(F.col("before") / most)))
+    ends = placed.df.select((F.col("before") + F.col("lines")).alias("end"), "pos")
+    # the last block of a part that starts here ends within ``room`` of the start, so in this bucket or the next
+    reach = placed.df.select("pos", (F.col("before") + room).alias("limit"), F.explode(F.array("bucket", F.col("bucket") + 1)).alias("b"))
+    latest = ends.withColumn("b", F.floor((F.col("end")) / most))
+    steps = reach.join(latest.select("b", "end", F.col("pos").alias("p2")), "b", "left").where("end IS NULL OR end <= limit").groupBy("pos").agg(F.max("p2").alias("last"))
+    jump = durable(placed.df.select("pos").join(steps, "pos", "left").select("pos", (F.greatest(F.coalesce("last", "pos"), "pos") + 1).alias("next")))
+    starts = durable(placed.df.where("pos = 0").select("pos"))
+    while True:
+        ahead = starts.df.join(jump.df, "pos").select(F.col("next").alias("pos")).join(placed.df.select("pos"), "pos").join(starts.df, "pos", "left_anti")
+        ahead = durable(ahead)
+        if not ahead.df.limit(1).count():
+            break
+        starts = durable(starts.df.unionByName(ahead.df), drop=(starts, ahead))
+        jump = durable(jump.df.join(jump.df.select(F.col("pos").alias("next"), F.col("next").alias("n2")), "next", "left").select("pos", F.coalesce("n2", "next").alias("next")), drop=(jump,))
+    marked = placed.df.join(starts.df.withColumn("opens", F.lit(1)), "pos", "left").select("file_path", "lines", F.coalesce("opens", F.lit(0)).alias("opens"))
+    return running(marked, "file_path", F.col("opens"), "part").select("file_path", "lines", (F.col("part") + F.col("opens") - 1).cast("bigint").alias("part"))
 
 
 _SYMBOL = r"^(S\d+) (\w+)/(\w+) L(\d+)(?:-L(\d+))?(?: (.*?))?(?: \{([^{}]*)\})?$"

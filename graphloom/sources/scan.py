@@ -17,8 +17,9 @@ PRUNED = (".git", ".hg", ".svn", "node_modules", "__pycache__", ".tox", ".mypy_c
 TEST_FOLDERS = ("__tests__", "test", "tests", "spec", "specs")
 #: Test names by extension: prefixes and suffixes of the base name (fixed values).
 TEST_NAMES = {
-    ".py": (("test_",), ("_test",)), ".rb": (("test_",), ("_test", "_spec")), ".go": ((), ("_test",)), ".c": ((), ("_test",)), ".cpp": ((), ("_test",)),
-    ".rs": ((), ("_test",)), ".java": ((), ("Test", "Tests", "Spec", "Suite")), ".scala": ((), ("Test", "Tests", "Spec", "Suite")),
+    ".py": (("test_",), ("_test",)), ".pyi": (("test_",), ("_test",)), ".rb": (("test_",), ("_test", "_spec")), ".go": ((), ("_test",)), ".c": ((), ("_test",)), ".h": ((), ("_test",)),
+    ".cpp": ((), ("_test",)), ".hpp": ((), ("_test",)), ".cc": ((), ("_test",)), ".cxx": ((), ("_test",)), ".hxx": ((), ("_test",)),
+    ".rs": ((), ("_test",)), ".java": ((), ("Test", "Tests", "Spec", "Suite")), ".scala": ((), ("Test", "Tests", "Spec", "Suite")), ".sc": ((), ("Test", "Tests", "Spec", "Suite")),
     ".cs": ((), ("Test", "Tests", "Spec")), ".php": ((), ("Test", "Spec")),
 }
 

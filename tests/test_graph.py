@@ -84,3 +84,21 @@ def test_closure_matches_brute_force(spark):
             reach.add((i, j))
     df = spark.createDataFrame([(str(a), str(b)) for a, b in edges], "src string, dst string")
     assert {(int(r.src), int(r.dst)) for r in iterate.closure(df).collect()} == reach
+
+
+def test_chains_into_loops(spark):
+    from graphloom.operators.iterate import chain_depths
+
+    parent = {"a": "b", "b": "c", "c": "d", "d": "b", "x": "a", "s": "s", "t": "s", "p": "q", "q": "r"}
+    want = {}
+    for n in parent:
+        seen, at = [n], n
+        while at in parent:
+            at = parent[at]
+            if at in seen:
+                break
+            seen.append(at)
+        want[n] = (len(seen) - 1 if at not in parent else len(seen), at)
+    want["r"] = (0, "r")
+    got = {r.id: (r.depth, r.top) for r in chain_depths(spark.createDataFrame(list(parent.items()), "child string, parent string")).collect()}
+    assert got == want

@@ -58,7 +58,7 @@ def symbols(spark, rows):
 def test_resolution(spark, files, where, module, target):
     syms = symbols(spark, [(f, "H") for f in files] + [("other.go", "x")])
     refs = spark.createDataFrame([(where, "H")], "file_path string, name string")
-    imports = spark.createDataFrame([(where, "H", module)], "file_path string, name string, module string") if module else None
+    imports = spark.createDataFrame([(where, "H", "elsewhere.entirely", 1), (where, "H", module, 2)], "file_path string, name string, module string, ord int") if module else None
     row = resolve.nearest_definitions(refs, syms, imports).first()
     assert row.target == target and row.resolved == bool(files)
 
@@ -121,7 +121,16 @@ def test_sinks(spark, tmp_path):
     tokens = spark.createDataFrame([("callable", 5), ("f", 9), ("type", 1)], "token string, count long")
     assert [tuple(r) for r in reports.dictionary(tokens).collect()] == [("d0", "callable"), ("d1", "type")]
     blocks = spark.createDataFrame([("a", 300), ("b", 300), ("c", 100)], "file_path string, lines int")
-    assert {r.file_path: r.part for r in reports.flat_blocks(blocks).collect()}["a"] == 0
+    assert {r.file_path: r.part for r in reports.flat_blocks(blocks).collect()} == {"a": 0, "b": 1, "c": 1}
+    sizes = [400, 300, 300, 90, 7, 700, 1, 1, 494, 1, 496, 1] + [(k * 37) % 90 + 1 for k in range(150)]
+    part, held, want = 0, 1, {}
+    for k, n in enumerate(sizes):
+        if held > 1 and held + n + 2 > 500:
+            part, held = part + 1, 1
+        held += n
+        want[f"f{k:03}"] = part
+    many = spark.createDataFrame([(f"f{k:03}", n) for k, n in enumerate(sizes)], "file_path string, lines int")
+    assert {r.file_path: r.part for r in reports.flat_blocks(many).collect()} == want
     (tmp_path / "old.map").write_text("x")
     with pytest.raises(FileExistsError):
         reports.guard_output(str(tmp_path), ".map")
