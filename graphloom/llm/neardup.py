@@ -34,7 +34,6 @@ WIDTH = 256
 SEGMENTS = 4
 REFERENCES = 11
 SHARED = 4
-PIVOTS = 1 + SEGMENTS + REFERENCES
 _ODD = np.uint64(0x9E3779B97F4A7C15)  # fixed value: 2^64 / golden ratio, odd
 
 
@@ -94,8 +93,8 @@ def _table(length: int, similarity: float, counts: np.ndarray, references: np.nd
             f = np.stack(prints).astype(np.int32) if prints else np.zeros((0, WIDTH), np.int32)
             far = f.sum(1)[:, None] + pivots.sum(1)[None, :] - 2 * (f @ pivots.T)
             arrays = [pa.array(kept, pa.int64()), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))]
-            arrays += [pa.array(far[:, k].astype(np.int16), pa.int16()) for k in range(far.shape[1])]
-            yield pa.RecordBatch.from_arrays(arrays, names=["cls", "size", "prefix", *[f"d{k}" for k in range(far.shape[1])]])
+            arrays.append(pa.array(list(far.astype(np.int16)), pa.list_(pa.int16())))
+            yield pa.RecordBatch.from_arrays(arrays, names=["cls", "size", "prefix", "far"])
 
     return run
 
@@ -136,25 +135,28 @@ def similar_classes(texts: DataFrame, similarity: float = 0.70, length: int = 5)
     steps = [r[0] for r in classes.df.orderBy("key").limit(REFERENCES).select("step").collect()]
     prints = [fingerprint(windows(x, s, length)) for x, s in zip(sample, steps)]
     prints += [np.zeros(WIDTH, np.int8)] * (REFERENCES - len(prints))
-    kinds = ", ".join(f"d{k} smallint" for k in range(PIVOTS))
-    table = classes.df.select("cls", "data", "step").mapInArrow(_table(length, similarity, counts, np.stack(prints)), f"cls bigint, size int, prefix array<bigint>, {kinds}")
-    entries = durable(table.join(classes.df.select("cls", "part"), "cls").select("part", "cls", "size", *[f"d{k}" for k in range(PIVOTS)], F.posexplode("prefix").alias("at", "window")))
+    table = classes.df.select("cls", "data", "step").mapInArrow(_table(length, similarity, counts, np.stack(prints)), "cls bigint, size int, prefix array<bigint>, far array<smallint>")
+    table = durable(table.join(classes.df.select("cls", "part"), "cls"))
+    entries = durable(table.df.select("part", "cls", "size", F.posexplode("prefix").alias("at", "window")))
     lonely = entries.df.groupBy("part", "window").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     shared = durable(entries.df.join(lonely, ["part", "window"], "left_semi"), drop=(entries,))
-    one = shared.df.select("part", "window", *[F.col(c).alias(f"{c}_a") for c in ("cls", "size", "at", *[f"d{k}" for k in range(PIVOTS)])])
-    two = shared.df.select("part", "window", *[F.col(c).alias(f"{c}_b") for c in ("cls", "size", "at", *[f"d{k}" for k in range(PIVOTS)])])
+    one = shared.df.select("part", "window", *[F.col(c).alias(f"{c}_a") for c in ("cls", "size", "at")])
+    two = shared.df.select("part", "window", *[F.col(c).alias(f"{c}_b") for c in ("cls", "size", "at")])
     sizes = F.col("size_a") + F.col("size_b")
-    limit = sizes * ((1 - similarity) / (1 + similarity)) + 1e-9
-    furthest = F.greatest(*[F.abs(F.col(f"d{k}_a") - F.col(f"d{k}_b")) for k in range(PIVOTS)])
     # what is left of both sets from the shared window on bounds the overlap (positional bound)
     rest = F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b")) + F.least("at_a", "at_b")
     need = sizes * (similarity / (1 + similarity)) - 1e-9
-    near = one.join(two, ["part", "window"]).where((F.col("cls_a") < F.col("cls_b")) & (F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b") - 1e-9) & (rest >= need) & (furthest <= limit))
-    pairs = durable(near.groupBy(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).agg(F.count("*").alias("shared"), F.min(F.least("size_a", "size_b")).alias("least")).where(F.col("shared") >= F.least(F.lit(SHARED), F.ceil(similarity * F.col("least") - 1e-9))).select("a", "b"))
+    near = one.join(two, ["part", "window"]).where((F.col("cls_a") < F.col("cls_b")) & (F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b") - 1e-9) & (rest >= need))
+    pairs = durable(near.groupBy(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).agg(F.count("*").alias("shared"), F.min(F.least("size_a", "size_b")).alias("least")).where(F.col("shared") >= F.least(F.lit(SHARED), F.ceil(similarity * F.col("least") - 1e-9))).select("a", "b"), drop=(shared,))
+    # the pivot tables discard pairs before their strings are fetched
+    left = pairs.df.join(table.df.select(F.col("cls").alias("a"), F.col("size").alias("size_a"), F.col("far").alias("far_a")), "a")
+    tables = left.join(table.df.select(F.col("cls").alias("b"), F.col("size").alias("size_b"), F.col("far").alias("far_b")), "b")
+    furthest = F.array_max(F.zip_with("far_a", "far_b", lambda x, y: F.abs(x - y)))
+    close = tables.where(furthest <= sizes * ((1 - similarity) / (1 + similarity)) + 1e-9).select("a", "b")
     left = classes.df.select(F.col("cls").alias("a"), F.col("data").alias("x"), "step")
     right = classes.df.select(F.col("cls").alias("b"), F.col("data").alias("y"))
-    both = pairs.df.join(left, "a").join(right, "b").select("a", "b", "x", "y", "step")
-    similar = durable(both.mapInArrow(_verify(length, similarity), "a bigint, b bigint"), drop=(pairs, shared))
+    both = close.join(left, "a").join(right, "b").select("a", "b", "x", "y", "step")
+    similar = durable(both.mapInArrow(_verify(length, similarity), "a bigint, b bigint"), drop=(pairs, table))
     members = durable(keyed.df.select("id", "part", "key").join(classes.df.select("key", "cls"), "key").select("id", "part", "cls"))
     return members.df, similar.df
 

@@ -202,3 +202,10 @@ def test_provenance(spark):
     ext = spark.createDataFrame([(".js", "javascript")], "ext string, language string")
     got = {r.path: r.kind for r in provenance.not_handwritten(df, ext).collect()}
     assert got == {"r/vendor/lib/a.js": "third-party", "r/g.js": "generated", "r/m.js": "minified", "r/d.js": "data", "q1/z.js": "third-party", "q2/z.js": "third-party", "q3/y.js": "third-party"}
+
+
+def test_tokens_of_stretches():
+    enc = packing.encoder(packing.TOKENIZER)
+    rnd = random.Random(8)
+    for text in ["", "a" * 500, " " * 300, *("".join(rnd.choice("ab1é.,'  \n\t\u3000s") for _ in range(700)) for _ in range(20))]:
+        assert packing.token_count(enc, text, 50) == len(enc.encode_ordinary(text))
