@@ -42,4 +42,18 @@ def p1_neighbours(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours}
-SQL: dict[str, str] = {}
+#: Brute force over all pairs of a space.
+_ALL = """
+WITH raw AS (
+  SELECT 'ann/' || coalesce(category, '') AS space, id, vec, 128 AS n FROM ann_vectors
+  UNION ALL SELECT lower(trim(model)), unnest(entry_ids), unnest(embeddings), CASE lower(trim(model)) WHEN 'mellow' THEN 128 WHEN 'tarn' THEN 192 END
+  FROM embed_responses WHERE entry_ids IS NOT NULL AND embeddings IS NOT NULL AND len(entry_ids) = len(embeddings)),
+v AS (SELECT space, id, any_value(vec)::DOUBLE[] AS vec FROM raw WHERE id IS NOT NULL AND vec IS NOT NULL AND len(vec) = n
+  AND len(list_filter(vec, lambda x: x IS NULL OR isnan(x))) = 0 AND len(list_filter(vec, lambda x: x <> 0)) > 0 GROUP BY space, id),
+s AS (SELECT a.space, a.id, b.id AS other, round(list_cosine_similarity(a.vec, b.vec), 6) AS similarity FROM v a JOIN v b ON a.space = b.space AND a.id <> b.id),
+r AS (SELECT *, row_number() OVER (PARTITION BY space, id ORDER BY similarity DESC, other) AS place FROM s)
+"""
+SQL: dict[str, str] = {
+    "p1_found": _ALL + "SELECT DISTINCT split_part(space, '/', 1) AS space, least(id, other) AS id_a, greatest(id, other) AS id_b FROM r WHERE place <= 5 AND similarity >= 0.70",
+    "p1_neighbours": _ALL + "SELECT space, id, other, similarity, CAST(place AS INTEGER) AS place FROM r WHERE place <= 5",
+}

@@ -28,4 +28,14 @@ def p6_groups(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {"p6_found": p6_found, "p6_groups": p6_groups}
-SQL: dict[str, str] = {}
+#: Brute force: shared windows of all pairs of a category.
+SQL: dict[str, str] = {
+    "p6_found": r"""
+WITH t AS (SELECT DISTINCT id, 'c' || coalesce(category, chr(1)) AS part, coalesce(octet_length(body_tokens), 0) AS n, hex(body_tokens) AS body, regexp_replace(lower(signature), '\s+', '', 'g') AS sign FROM symbols WHERE id IS NOT NULL),
+x AS (SELECT id, 'b' || part AS part, unnest(range(0, n - 4)) AS k, body, 1 AS of FROM t WHERE n >= 24
+  UNION ALL SELECT id, 's' || part, unnest(range(0, length(sign) - 4)), sign, 0 FROM t WHERE n = 0 AND length(sign) >= 40),
+w AS (SELECT DISTINCT id, part, CASE WHEN of = 1 THEN substr(body, CAST(2 * k + 1 AS BIGINT), 10) ELSE substr(body, CAST(k + 1 AS BIGINT), 5) END AS w FROM x),
+z AS (SELECT id, part, count(*) AS n FROM w GROUP BY id, part),
+p AS (SELECT a.id AS id_a, b.id AS id_b, a.part, count(*) AS n FROM w a JOIN w b ON a.part = b.part AND a.w = b.w AND a.id < b.id GROUP BY 1, 2, 3)
+SELECT DISTINCT id_a, id_b FROM p JOIN z x ON x.id = id_a AND x.part = p.part JOIN z y ON y.id = id_b AND y.part = p.part WHERE p.n >= 0.70 * (x.n + y.n - p.n) - 1e-9""",
+}

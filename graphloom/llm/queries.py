@@ -2,20 +2,15 @@
 
 from __future__ import annotations
 
-import importlib
+# imported here, not later: without one of their libraries the subpackage as a whole is absent
+from graphloom.llm import components_queries, forest_queries, leaks_queries, neardup_queries, packing_queries, provenance_queries, syntax_queries, textstats_queries
 
-MODULES = ("components_queries", "forest_queries", "packing_queries", "leaks_queries", "neardup_queries", "textstats_queries", "provenance_queries", "syntax_queries")
+MODULES = (components_queries, forest_queries, packing_queries, leaks_queries, neardup_queries, textstats_queries, provenance_queries, syntax_queries)
 
 
 def llm_queries() -> dict:
-    out: dict = {}
-    for name in MODULES:
-        out |= importlib.import_module(f"graphloom.llm.{name}").QUERIES
-    return out
+    return {name: query for module in MODULES for name, query in module.QUERIES.items()}
 
 
 def llm_sql() -> dict[str, str]:
-    out: dict = {}
-    for name in MODULES:
-        out |= importlib.import_module(f"graphloom.llm.{name}").SQL
-    return out
+    return {name: text for module in MODULES for name, text in module.SQL.items()}
