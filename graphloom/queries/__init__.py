@@ -14,12 +14,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def core_queries() -> dict[str, Query]:
-    from graphloom.queries import graph, hierarchy, outranking
+    from graphloom.queries import documents, graph, hierarchy, outranking
 
-    return {**hierarchy.QUERIES, **outranking.QUERIES, **graph.QUERIES}
+    return {**hierarchy.QUERIES, **outranking.QUERIES, **graph.QUERIES, **documents.QUERIES}
 
 
 def core_sql() -> dict[str, str]:
-    from graphloom.queries import graph, hierarchy, outranking
+    from graphloom.queries import documents, graph, hierarchy, outranking
 
-    return {**hierarchy.SQL, **outranking.SQL, **graph.SQL}
+    return {**hierarchy.SQL, **outranking.SQL, **graph.SQL, **documents.SQL}
