@@ -110,7 +110,13 @@ _graph_query("containment_depth", lambda g: iterate.containment_depth(g, 1), """
 k AS (SELECT DISTINCT c.src, c.dst FROM c JOIN sym s ON s.id = c.dst WHERE s.category IN ('type', 'callable')),
 w AS (SELECT DISTINCT src AS id, 0 AS depth FROM c WHERE src NOT IN (SELECT dst FROM c) UNION SELECT k.dst, w.depth + 1 FROM w JOIN k ON k.src = w.id WHERE w.depth < 400)
 SELECT id, CAST(min(depth) AS INTEGER) AS depth FROM w GROUP BY id HAVING min(depth) >= 1""")
-_graph_query("pagerank", lambda g: iterate.page_rank(g.symbols, g.uses).select("id", F.round("rank", 9).alias("rank")))
+_graph_query("pagerank", lambda g: iterate.page_rank(g.symbols, g.uses).select("id", F.round("rank", 9).alias("rank")), """
+deg AS (SELECT src AS id, count(*) AS d FROM u GROUP BY src),
+li AS (SELECT u.src, u.dst, count(*) * 1.0 / any_value(d) AS w FROM u JOIN deg ON deg.id = u.src GROUP BY u.src, u.dst UNION ALL SELECT id, id, 0 FROM sym),
+pr AS (SELECT 0 AS it, id, 1.0::DOUBLE / (SELECT count(*) FROM sym) AS rank FROM sym UNION ALL
+  SELECT it + 1, dst, 0.15::DOUBLE / (SELECT count(*) FROM sym) + 0.85::DOUBLE * (any_value(lost) / (SELECT count(*) FROM sym) + sum(rank * w)) FROM (
+    SELECT it, id, rank, sum(CASE WHEN id IN (SELECT id FROM deg) THEN 0 ELSE rank END) OVER (PARTITION BY it) AS lost FROM pr WHERE it < 30) p JOIN li ON li.src = p.id GROUP BY it, dst)
+SELECT id, round(rank, 9) AS rank FROM pr WHERE it = 30""")
 _graph_query("betweenness", lambda g: paths.betweenness(g.symbols, g.uses).where("value > 0").select("id", F.round("value", 9).alias("value")))
 _graph_query("change_propagation", paths.change_propagation)
 
@@ -337,6 +343,13 @@ def flat_blocks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES["dictionary"], QUERIES["flat_blocks"] = dictionary, flat_blocks
+SQL["dictionary"] = """
+WITH RECURSIVE d AS (SELECT any_value(category) AS category, any_value(kind) AS kind, any_value(file_path) AS f FROM symbols WHERE id <> '' GROUP BY id),
+t AS (SELECT token, count(*) AS n FROM (SELECT category AS token FROM d UNION ALL SELECT kind FROM d UNION ALL SELECT CASE WHEN instr(f, '/') > 0 THEN regexp_replace(f, '/[^/]*$', '') ELSE '.' END FROM d) WHERE token <> '' GROUP BY token),
+o AS (SELECT token, n, row_number() OVER (ORDER BY token) AS k FROM t),
+fold AS (SELECT k, CAST((length(token) - 2) * n > 0 AS INTEGER) AS upto, (length(token) - 2) * n > 0 AS given, 0 AS number FROM o WHERE k = 1
+  UNION ALL SELECT o.k, f.upto + CAST((length(o.token) - length('d' || f.upto)) * o.n > 0 AS INTEGER), (length(o.token) - length('d' || f.upto)) * o.n > 0, f.upto FROM fold f JOIN o ON o.k = f.k + 1)
+SELECT 'd' || number AS code, token FROM fold JOIN o USING (k) WHERE given"""
 SQL["flat_blocks"] = _NAMED + """
 , b AS (SELECT file_path, lines, row_number() OVER (ORDER BY file_path) AS k FROM (SELECT file_path, count(*) + 1 AS lines FROM s GROUP BY file_path)),
 fill AS (SELECT k, 1 + lines AS n, 0 AS part FROM b WHERE k = 1 UNION ALL

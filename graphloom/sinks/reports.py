@@ -39,22 +39,6 @@ def json_edges(edges: DataFrame, home: DataFrame) -> DataFrame:
     return rows.withColumn("json", F.to_json(F.struct(F.col("src").alias("from"), F.col("dst").alias("to"), "kind"))).orderBy("position_file", "src", "kind", "dst")
 
 
-def dictionary(tokens: DataFrame, limit: int = 100_000) -> DataFrame:
-    """(code, token): short codes for tokens whose replacement saves characters, in token order.
-
-    ``tokens``: token, count. The code grows with its number, so numbers are given one after another: by the driver, over the at
-    most ``limit`` tokens that save the most; the rest stay as they are (a dictionary is a compression aid).
-    """
-    worth = tokens.withColumn("gain", (F.length("token") - 2) * F.col("count")).where("gain > 0").orderBy(F.col("gain").desc(), "token").limit(limit)
-    rows, n = [], 0
-    for r in worth.orderBy("token").toLocalIterator():
-        code = f"d{n}"
-        if (len(r["token"]) - len(code)) * r["count"] > 0:
-            rows.append((code, r["token"]))
-            n += 1
-    return tokens.sparkSession.createDataFrame(rows, "code string, token string")
-
-
 def running(df: DataFrame, by: str, value: Column, out: str) -> DataFrame:
     """Adds the sum of ``value`` over all rows before a row in the order of ``by`` (unique), by ranges: no task sees all rows."""
     ranged = durable(df.withColumn("_v", value).repartitionByRange(by).withColumn("_p", F.spark_partition_id())).df
@@ -64,6 +48,27 @@ def running(df: DataFrame, by: str, value: Column, out: str) -> DataFrame:
     return ranged.withColumn("_i", inside).join(F.broadcast(starts), "_p").withColumn(out, F.col("_b") + F.col("_i")).drop("_v", "_p", "_i", "_b")
 
 
+def dictionary(tokens: DataFrame) -> DataFrame:
+    """(code, token): codes d0, d1, ... in token order for tokens (token, count) that are longer than their code; nulls take no part.
+
+    The number only moves on where a code is given, and codes grow with it: all codes of one length are given together, to the
+    next tokens in order that are longer, so there are as many rounds as digits.
+    """
+    rows = tokens.where("count > 0 AND length(token) > 2").select("token", F.length("token").alias("n"))
+    rows, start, out, size = durable(rows).df, None, None, 2
+    while True:
+        given = 10 ** (size - 2) if size > 2 else 0
+        room = 10 ** (size - 1) - given
+        now = rows.where(F.col("n") > size)
+        now = durable(running(now if start is None else now.where(F.col("token") > start), "token", F.lit(1), "k").where(F.col("k") < room)).df
+        one = now.select(F.concat(F.lit("d"), (F.col("k") + given).cast("string")).alias("code"), "token")
+        out = one if out is None else out.unionByName(one)
+        last = now.agg(F.count("*"), F.max("token")).first()
+        if last[0] < room:
+            return out
+        start, size = last[1], size + 1
+
+
 def flat_blocks(blocks: DataFrame, most: int = NO_LINES) -> DataFrame:
     """(file_path, lines, part): file blocks in order, filled greedily into parts of at most ``most`` lines, numbered from 0.
 

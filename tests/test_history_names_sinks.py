@@ -120,6 +120,14 @@ def test_extraction():
 def test_sinks(spark, tmp_path):
     tokens = spark.createDataFrame([("callable", 5), ("f", 9), ("type", 1)], "token string, count long")
     assert [tuple(r) for r in reports.dictionary(tokens).collect()] == [("d0", "callable"), ("d1", "type")]
+    many = [(f"t{k:03}" if k % 3 else f"t{k:03}"[:3] + "y" * (k % 2), k % 5) for k in range(130)] + [("x", 9), ("zz", 3), (None, 2)]
+    many = list({t: (t, n) for t, n in many}.values())
+    want, n = [], 0
+    for token, count in sorted(x for x in many if x[0] is not None):
+        if (len(token) - len(f"d{n}")) * count > 0:
+            want.append((f"d{n}", token))
+            n += 1
+    assert sorted(tuple(r) for r in reports.dictionary(spark.createDataFrame(many, "token string, count long")).collect()) == sorted(want)
     blocks = spark.createDataFrame([("a", 300), ("b", 300), ("c", 100)], "file_path string, lines int")
     assert {r.file_path: r.part for r in reports.flat_blocks(blocks).collect()} == {"a": 0, "b": 1, "c": 1}
     sizes = [400, 300, 300, 90, 7, 700, 1, 1, 494, 1, 496, 1] + [(k * 37) % 90 + 1 for k in range(150)]
