@@ -19,9 +19,11 @@ _ROOTS: dict[str, SparkSession] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables; a temporary one only where none is configured."""
+    """The shared folder for intermediate tables. Without a setting a local session gets a temporary one; a cluster has to name one."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         if not _OWN_DIR:
             _OWN_DIR.append(tempfile.mkdtemp(prefix="graphloom-"))
         base = _OWN_DIR[0]
