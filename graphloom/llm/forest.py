@@ -46,8 +46,8 @@ def candidates(rows: int) -> int:
 
 
 def trees_for(rows: int) -> int:
-    """How many trees a forest with ``rows`` in its largest space has: eight up to 50,000 rows, four more with every doubling."""
-    return TREES + 4 * max(0, int(np.ceil(np.log2(max(rows, 1) / 50_000))))
+    """How many trees a forest with ``rows`` in its largest space has: eight up to 10,000 rows, six more with every doubling."""
+    return TREES + 6 * max(0, int(np.ceil(np.log2(max(rows, 1) / 10_000))))
 
 
 def usable_vectors(vec: str, length: int | None = None):
