@@ -33,7 +33,7 @@ from graphloom.common import durable
 
 TREES = 8
 BLOCK = 512
-REACH = 32
+REACH = 48
 SAMPLE = 16_384
 ROWS_A_TASK = 16_384
 DEEPEST = 40
@@ -46,8 +46,8 @@ def candidates(rows: int) -> int:
 
 
 def trees_for(rows: int) -> int:
-    """How many trees a forest with ``rows`` in its largest space has: eight up to 10,000 rows, six more with every doubling."""
-    return TREES + 6 * max(0, int(np.ceil(np.log2(max(rows, 1) / 10_000))))
+    """How many trees a forest with ``rows`` in its largest space has: eight up to 50,000 rows, eight more with every doubling."""
+    return TREES + 8 * max(0, int(np.ceil(np.log2(max(rows, 1) / 50_000))))
 
 
 def usable_vectors(vec: str, length: int | None = None):
