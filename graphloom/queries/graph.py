@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.common import durable
@@ -121,23 +121,37 @@ _graph_query("betweenness", lambda g: paths.betweenness(g.symbols, g.uses).where
 _graph_query("change_propagation", paths.change_propagation)
 
 
-def order_flow(spark: SparkSession, folder: str) -> Graph:
-    """Suppliers; one follows another within an order, both with a quantity of 49 or more."""
-    lines = table(spark, folder, "lineitem").where("l_quantity >= 49").select("l_orderkey", "l_suppkey", "l_linenumber")
+FOLLOWERS = 3
+
+
+def order_flow(spark: SparkSession, folder: str, followers: int = FOLLOWERS) -> Graph:
+    """Suppliers, each with the ``followers`` that follow it in most orders (by line number; ties: smaller key), over all order lines."""
+    lines = table(spark, folder, "lineitem").select("l_orderkey", "l_suppkey", "l_linenumber")
     a = lines.select("l_orderkey", F.col("l_suppkey").alias("a"), F.col("l_linenumber").alias("m"))
     b = lines.select("l_orderkey", F.col("l_suppkey").alias("b"), F.col("l_linenumber").alias("n"))
     name = lambda c: F.concat(F.lit("S"), F.col(c).cast("string"))
-    e = a.join(b, "l_orderkey").where("m < n AND a <> b").select(name("a").alias("src"), name("b").alias("dst")).distinct()
+    often = a.join(b, "l_orderkey").where("m < n AND a <> b").groupBy("a", "b").agg(F.count("*").alias("times"))
+    best = often.withColumn("place", F.row_number().over(Window.partitionBy("a").orderBy(F.col("times").desc(), "b"))).where(F.col("place") <= followers)
+    e = best.select(name("a").alias("src"), name("b").alias("dst"))
     s = table(spark, folder, "supplier").select(name("s_suppkey").alias("id"), name("s_suppkey").alias("name"), F.concat(F.lit("n"), F.col("s_nationkey").cast("string"), F.lit("/s")).alias("file_path"), F.lit("type").alias("category"), F.lit("class").alias("kind"), F.create_map().cast("map<string,string>").alias("properties"))
     return build_graph(s, e.select("src", "dst", F.lit("calls").alias("kind"), F.lit(0).cast("bigint").alias("ord")))
 
 
 _FLOW = """
 WITH RECURSIVE s AS (SELECT 'S' || s_suppkey AS id FROM supplier),
-li AS (SELECT l_orderkey AS o, l_suppkey AS k, l_linenumber AS n FROM lineitem WHERE l_quantity >= 49),
-u AS (SELECT DISTINCT 'S' || a.k AS src, 'S' || b.k AS dst FROM li a JOIN li b ON a.o = b.o WHERE a.n < b.n AND a.k <> b.k),
+li AS (SELECT l_orderkey AS o, l_suppkey AS k, l_linenumber AS n FROM lineitem),
+often AS (SELECT a.k AS a, b.k AS b, count(*) AS n FROM li a JOIN li b ON a.o = b.o WHERE a.n < b.n AND a.k <> b.k GROUP BY 1, 2),
+u AS (SELECT 'S' || a AS src, 'S' || b AS dst FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY n DESC, b) AS r FROM often) WHERE r <= 3),
 """
-QUERIES["flow_articulation_points"] = lambda spark, folder: paths.articulation_points(order_flow(spark, folder), 1)
+QUERIES["flow_articulation_points"] = lambda spark, folder: paths.articulation_points(order_flow(spark, folder, 1), 1)
+SQL["flow_articulation_points"] = _FLOW.replace("r <= 3", "r <= 1") + """
+b AS (SELECT src, dst FROM u UNION SELECT dst, src FROM u), n AS (SELECT DISTINCT src AS id FROM b), b2 AS (SELECT src, dst FROM b UNION SELECT id, id FROM n),
+lab AS (SELECT 0 AS it, g.id AS gone, n.id AS id, n.id AS low FROM n JOIN n g ON n.id <> g.id
+  UNION ALL SELECT it + 1, gone, dst, min(low) FROM lab JOIN b2 ON b2.src = lab.id AND b2.dst <> gone WHERE it < 60 GROUP BY it, gone, dst),
+uncut AS (SELECT 0 AS it, id, id AS low FROM n UNION ALL SELECT it + 1, dst, min(low) FROM uncut JOIN b2 ON b2.src = uncut.id WHERE it < 60 GROUP BY it, dst),
+parts AS (SELECT gone, low, count(*) AS n FROM lab WHERE it = 60 GROUP BY 1, 2),
+placed AS (SELECT gone, n, row_number() OVER (PARTITION BY gone ORDER BY n DESC, low) AS r, count(*) OVER (PARTITION BY gone) AS c FROM parts)
+SELECT gone AS id, n AS second FROM placed WHERE r = 2 AND c > (SELECT count(DISTINCT low) FROM uncut WHERE it = 60)"""
 QUERIES["flow_pagerank"] = lambda spark, folder: iterate.page_rank(order_flow(spark, folder).symbols, order_flow(spark, folder).uses).select("id", F.round("rank", 9).alias("rank"))
 SQL["flow_pagerank"] = _FLOW + """
 deg AS (SELECT s.id, count(u.dst) AS d FROM s LEFT JOIN u ON u.src = s.id GROUP BY s.id),
