@@ -38,20 +38,8 @@ def rules_of(text: str) -> list[tuple[str, tuple[str, ...]]]:
     return list(rules)
 
 
-def _merged(parts: list[dict[int, list]]) -> dict[int, list]:
-    """The heads of several cells as those of one."""
-    parts = [p for p in parts if p]
-    if len(parts) < 2:
-        return parts[0] if parts else {}
-    out: dict[int, list] = {}
-    for part in parts:
-        for state, node in part.items():
-            old = out.get(state)
-            if old is None:
-                out[state] = node
-            elif old is not node:
-                out[state] = [state, old[1] | node[1]]
-    return out
+#: Cells and stack nodes kept from one string to the next.
+KEPT = 100_000
 
 
 class Recogniser:
@@ -69,7 +57,21 @@ class Recogniser:
         self.kernels: list[tuple] = []
         self.shifts: list[dict[str, tuple[int, ...]]] = []
         self.reduces: list[dict[str, tuple]] = []
+        self.inserts: dict[tuple[int, str], tuple[int, ...]] = {}
         self.initial: dict[str, int] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        # stacks of equal content are one node, wherever they end; equal sets of heads are one cell, and 0 is the cell without heads
+        self.nodes: dict[tuple[int, ...], int] = {}
+        self.state_of: list[int] = []
+        self.parents: list[tuple[int, ...]] = []
+        self.cells: dict[tuple[int, ...], int] = {(): 0}
+        self.heads: list[tuple[int, ...]] = [()]
+        self.fed: dict[tuple[int, str], int] = {}
+        self.edited: dict[tuple[int, str], int] = {}
+        self.merged: dict[tuple[int, ...], int] = {}
+        self.ready: dict[int, list[tuple[int, int]]] = {}
 
     def _follow(self, starts: set[str]) -> dict[str, set[str]]:
         first: dict[str, set[str]] = {n: set() for n in self.by}
@@ -154,116 +156,157 @@ class Recogniser:
             got = known[token] = tuple((n, k) for n, k in self.done[state] if token == ANY or any(t in self.follow[n] for t in ahead))
         return got
 
-    def _reduced(self, heads: dict[int, list], token: str) -> dict[int, list]:
-        """Heads after all reductions that ``token`` may follow. A node is [state, {id: parent}]."""
+    def _node(self, state: int, parents: Iterable[int]) -> int:
+        key = (state, *sorted(parents))
+        got = self.nodes.get(key)
+        if got is None:
+            got = self.nodes[key] = len(self.state_of)
+            self.state_of.append(state)
+            self.parents.append(key[1:])
+        return got
+
+    def _cell(self, heads: dict[int, set[int]]) -> int:
+        key = tuple(sorted([self._node(state, parents) for state, parents in heads.items()]))
+        got = self.cells.get(key)
+        if got is None:
+            got = self.cells[key] = len(self.heads)
+            self.heads.append(key)
+        return got
+
+    def _reduced(self, cell: int, token: str) -> dict[int, set[int]]:
+        """States and parents of the heads after all reductions that ``token`` may follow."""
         # no rule is empty, so parents belong to earlier cells: a new parent matters only to the node that gets it
-        heads = dict(heads)
-        agenda = [(node, node[1]) for node in heads.values()]
+        state_of, parents_of = self.state_of, self.parents
+        agenda = [(state_of[node], parents_of[node]) for node in self.heads[cell]]
+        heads = {state: set(parents) for state, parents in agenda}
         while agenda:
-            node, parents = agenda.pop()
-            for name, size in self._reduce(node[0], token):
+            state, parents = agenda.pop()
+            for name, size in self._reduce(state, token):
                 bases = parents
                 for _ in range(size - 1):
-                    if len(bases) == 1:
-                        bases = next(iter(bases.values()))[1]
-                    else:
-                        wider: dict[int, list] = {}
-                        for base in bases.values():
-                            wider.update(base[1])
-                        bases = wider
-                for key, base in bases.items():
-                    target = self._go(base[0], name)
+                    bases = parents_of[bases[0]] if len(bases) == 1 else tuple({b for base in bases for b in parents_of[base]})
+                for base in bases:
+                    target = self._go(state_of[base], name)
                     if target is None:
                         continue
                     old = heads.get(target)
                     if old is None:
-                        heads[target] = new = [target, {key: base}]
-                        agenda.append((new, {key: base}))
-                    elif key not in old[1]:
-                        old[1][key] = base
-                        agenda.append((old, {key: base}))
+                        heads[target] = {base}
+                    elif base in old:
+                        continue
+                    else:
+                        old.add(base)
+                    agenda.append((target, (base,)))
         return heads
 
-    def feed(self, heads: dict[int, list], token: str) -> dict[int, list]:
-        out: dict[int, list] = {}
-        for node in self._reduced(heads, token).values():
-            for target in self._shift(node[0], token):
-                old = out.get(target)
-                if old is None:
-                    out[target] = [target, {id(node): node}]
-                else:
-                    old[1][id(node)] = node
-        return out
-
-    def run(self, start: str, tokens: str) -> tuple[dict[int, list], int]:
-        """Heads of the stacks after ``tokens``, and how many of them could be read."""
-        heads = self._origin(start)
+    def feed(self, cell: int, token: str) -> int:
+        got = self.fed.get((cell, token))
+        if got is None:
+            out: dict[int, set[int]] = {}
+            for state, parents in self._reduced(cell, token).items():
+                targets = self._shift(state, token)
+                if targets:
+                    node = self._node(state, parents)
+                    for target in targets:
+                        out.setdefault(target, set()).add(node)
+            got = self.fed[cell, token] = self._cell(out)
+        return got
+
+    def run(self, start: str, tokens: str) -> tuple[int, int]:
+        """The cell of the stacks after ``tokens``, and how many of them could be read."""
+        cell = self._origin(start)
         for k, token in enumerate(tokens):
-            heads = self.feed(heads, token)
-            if not heads:
-                return heads, k
-        return heads, len(tokens)
+            cell = self.feed(cell, token)
+            if not cell:
+                return cell, k
+        return cell, len(tokens)
 
-    def _origin(self, start: str) -> dict[int, list]:
-        state = self._begin(start)
-        return {state: [state, {}]}
+    def _origin(self, start: str) -> int:
+        if len(self.nodes) + len(self.fed) + len(self.edited) + len(self.merged) > KEPT:
+            self._forget()
+        return self._cell({self._begin(start): set()})
 
-    def complete(self, start: str, heads: dict[int, list]) -> bool:
+    def complete(self, start: str, cell: int) -> bool:
         first = self._begin(start)
         target = self._go(first, start)
-        node = self._reduced(heads, END).get(target)
-        return node is not None and any(p[0] == first for p in node[1].values())
+        return any(self.state_of[base] == first for base in self._reduced(cell, END).get(target, ()))
 
-    def continues(self, heads: dict[int, list], token: str) -> bool:
-        return any(self._shift(node[0], token) for node in self._reduced(heads, token).values())
+    def continues(self, cell: int, token: str) -> bool:
+        return self.feed(cell, token) > 0
 
     def repair(self, start: str, tokens: str, most: int) -> int | None:
         """Least insertions, deletions and replacements of tokens that make ``tokens`` a ``start``; None if more than ``most``.
 
-        A chart over (edits, position): each cell holds the heads of all stacks that reach the position with so many edits.
+        A chart over (edits, position): each cell holds the heads of all stacks that reach the position with so many edits. A row
+        ends with the last cell that can be reached.
         """
         n = len(tokens)
-        below: list[dict[int, list]] = []
+        below: list[int] = []
         for edits in range(most + 1):
-            row: list[dict[int, list]] = []
-            before: dict[int, list] = {}
+            row: list[int] = []
+            cell, reach = 0, len(below)
             for k in range(n + 1):
-                parts = [self.feed(row[k - 1], tokens[k - 1])] if k and row[k - 1] else []
-                if edits == 0 and k == 0:
-                    parts = [self._origin(start)]
-                if edits:
+                if not cell and k > reach:
+                    break
+                if cell:
+                    cell = self.feed(cell, tokens[k - 1])
+                if not edits and not k:
+                    cell = self._origin(start)
+                if k <= reach and edits:
                     # in the last row only stacks that take the next token are of use
                     ahead = (tokens[k] if k < n else END) if edits == most else ANY
-                    closed = self._reduced(below[k], ANY)
-                    parts.append(self._any(closed, ahead))
+                    parts = {cell}
+                    if k < reach:
+                        parts.add(self._any(below[k], ahead))
                     if k:
-                        parts.append(below[k - 1])
-                        parts.append(self._any(before, ahead))
-                    before = closed
-                row.append(_merged(parts))
-            if row[n] and self.complete(start, row[n]):
+                        parts.add(below[k - 1])
+                        parts.add(self._any(below[k - 1], ahead))
+                    cell = self._merge(parts)
+                row.append(cell)
+            if len(row) > n and row[n] and self.complete(start, row[n]):
                 return edits
+            while row and not row[-1]:
+                row.pop()
             below = row
         return None
 
-    def _any(self, heads: dict[int, list], ahead: str) -> dict[int, list]:
-        """Heads after one more token, whichever it is, that can take ``ahead``; ``heads`` after all their reductions."""
-        out: dict[int, list] = {}
-        for node in heads.values():
-            state = node[0]
-            for symbol in self.closed[state]:
-                if symbol in self.by:
-                    continue
-                target = self._go(state, symbol)
-                if ahead != ANY and not self._reduce(target, ahead) and (ahead == END or not self._shift(target, ahead)):
-                    continue
-                old = out.get(target)
-                if old is None:
-                    out[target] = [target, {id(node): node}]
-                else:
-                    old[1][id(node)] = node
-        return out
+    def _merge(self, cells: set[int]) -> int:
+        """The heads of several cells as those of one."""
+        cells.discard(0)
+        if len(cells) < 2:
+            return cells.pop() if cells else 0
+        key = tuple(sorted(cells))
+        got = self.merged.get(key)
+        if got is None:
+            out: dict[int, set[int]] = {}
+            for cell in key:
+                for node in self.heads[cell]:
+                    out.setdefault(self.state_of[node], set()).update(self.parents[node])
+            got = self.merged[key] = self._cell(out)
+        return got
+
+    def _any(self, cell: int, ahead: str) -> int:
+        """The cell after one more token, whichever it is, that can take ``ahead``."""
+        got = self.edited.get((cell, ahead))
+        if got is None:
+            ready = self.ready.get(cell)
+            if ready is None:
+                ready = self.ready[cell] = [(state, self._node(state, parents)) for state, parents in self._reduced(cell, ANY).items() if self._inserted(state, ANY)]
+            out: dict[int, set[int]] = {}
+            for state, node in ready:
+                for target in self._inserted(state, ahead):
+                    out.setdefault(target, set()).add(node)
+            got = self.edited[cell, ahead] = self._cell(out)
+        return got
+
+    def _inserted(self, state: int, ahead: str) -> tuple[int, ...]:
+        """States after ``state`` and any token that can take ``ahead``."""
+        got = self.inserts.get((state, ahead))
+        if got is None:
+            targets = [self._go(state, symbol) for symbol in self.closed[state] if symbol not in self.by]
+            got = self.inserts[state, ahead] = tuple(t for t in targets if ahead == ANY or self._reduce(t, ahead) or ahead != END and self._shift(t, ahead))
+        return got
 
     def accepts(self, start: str, tokens: str) -> bool:
-        heads, n = self.run(start, tokens)
-        return n == len(tokens) and self.complete(start, heads)
+        cell, n = self.run(start, tokens)
+        return n == len(tokens) and self.complete(start, cell)

@@ -373,7 +373,8 @@ Pal: Pars | Pars ,
 As0: Ae | As0 , Ae
 Ae: X | ... X
 As: As0 | As0 ,
-El: Es | , | , El | Es , | Es , El
+El: Es | Ec | Ec Es
+Ec: , | Es , | Ec , | Ec Es ,
 Es: Ae
 If: if EXPS S | if EXPS S else S
 For: Fi? ; Cx? ; Cx? | Let Bt of X | Let Bt in Cx | U of X | U in Cx

@@ -8,9 +8,8 @@ error-correcting chart chart (``glr``): a file's cost is the sum of the least ed
 and files of cost 0 are valid. Where the edits fall tells what happened: at the end (truncation), at conflict marks, or in
 many places (another language).
 
-The least edits of a unit are exact up to ``REPAIR``; a unit that needs more counts REPAIR + 1, a lower bound. Of a file whose broken
-units have more than ``REPAIRED`` tokens that no file before had, the rest count one edit each, so that a megabyte of another
-language ends in seconds. Neither changes which files are flagged.
+The least edits of a unit are exact up to ``REPAIR``; a unit that needs more counts REPAIR + 1, a lower bound, which does not change which
+files are flagged. This holds for every unit, whatever the size of its file and whatever files came before.
 """
 
 from __future__ import annotations
@@ -25,9 +24,7 @@ from graphloom.llm.shapes import _FIRST_BRACE, _FIRST_GROUP, _INDENT, BAD, STR,
 from graphloom.llm.sourcetext import decode
 
 REPAIR = 2
-REPAIRED = 10_000
 _PAIR = {")": "(", "]": "[", "}": "{"}
-_CLOSE = {"(": ")", "[": "]", "{": "}"}
 CUT, GOES_ON, DEAD, COULD = 0, 1, 2, 3
 _GENERIC = frozenset(["cpp", "java", "csharp", "typescript", "rust", "scala"])  # an operand may be the arguments behind a closing ">"
 _RESTRICTED = ("return", "break", "continue", "throw")
@@ -58,7 +55,6 @@ class Checker:
         self.group_chars: dict[tuple[str, frozenset], str] = {}
         self.recogniser = Recogniser(TEXT[language], starts, self.matches)
         self.memo: dict = {}
-        self.left = REPAIRED
         self.implied: dict[str, set[str]] = {}
         for name, symbols in self.recogniser.rules:
             if len(symbols) == 1:  # what is made of these units is made of those, too
@@ -383,9 +379,6 @@ class Checker:
         key = (start, unit, most)
         got = self.memo.get(key)
         if got is None:
-            if len(unit) > self.left:
-                return 1
-            self.left -= len(unit)
             got = self.recogniser.repair(start, unit, most)
             got = self.memo[key] = max(1, most + 1 if got is None else got)
         return got
@@ -412,12 +405,16 @@ class Checker:
     def repaired(self, opener: str, items: list[tuple[str, int]], found: list[Problem], line: int) -> str:
         """The token of a group; what no kind of group derives is repaired as the kind that costs least."""
         inside = "".join(c for c, _ in items)
-        known = self.memo.get(self.shorter(opener + inside + _CLOSE[opener]))
+        # not what the quick pass knows of the shorter group: which groups it has met depends on the files before
+        key = ("group", opener, inside)
+        known = self.memo.get(key)
+        if known is None:
+            if len(self.memo) > 200_000:
+                self.memo.clear()
+            kinds = self.kinds_of(opener, inside) if BAD not in inside else frozenset()
+            known = self.memo[key] = self.group_char(opener, kinds) if kinds else ""
         if known:
             return known
-        kinds = self.kinds_of(opener, inside) if BAD not in inside else frozenset()
-        if kinds:
-            return self.group_char(opener, kinds)
         flat = self.blanks.sub("", inside) if self.loose else inside
         tries: list[tuple[int, str, list[tuple[str, int]]]] = []
         for _, content in self.widest(opener):
@@ -443,7 +440,6 @@ class Checker:
     def careful(self, text: str) -> list[Problem]:
         """All problems of a file that the quick pass did not take, with their lines."""
         items = lexer(self.language).lined(text)
-        self.left = REPAIRED
         found: list[Problem] = []
         stack: list[tuple[str, int, list]] = []
         now: list[tuple[str, int]] = []

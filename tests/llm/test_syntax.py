@@ -1,8 +1,11 @@
 """Valid code of every registered language in the forms people write, and the same with one thing wrong."""
 
+import random
+
 import pytest
 
-from graphloom.llm import syntax
+from graphloom.llm import glr, syntax
+from graphloom.llm.syntax_queries import checked_files
 
 VALID = {
     "go": """package p
@@ -323,3 +326,57 @@ def test_much_of_another_language():
     text = "".join(" ".join(words[(k * j) % len(words)] for j in range(1, 4 + k % 9)) + (" ;" if k % 3 else " .") + "\n" for k in range(12_000))
     found = syntax.problems("java", text.encode())
     assert found and syntax.cause(found, text) == "other-language"
+
+
+def test_edits_do_not_depend_on_size(spark):
+    # 700 different units of two edits each, over 10,000 tokens: none counts less because of those before it
+    units = ["let a = " + " ".join(f"x {'+' if k >> j & 1 else '&&'}" for j in range(10)) + " f(y) = = = 3;\n" for k in range(700)]
+    files = {"r/whole.js": units, "r/front.js": units[:100], "r/back.js": units[100:]}
+    df = spark.createDataFrame([(p, bytearray("".join(u).encode())) for p, u in files.items()], "path string, content binary").coalesce(1)
+    ext = spark.createDataFrame([(".js", "javascript")], "ext string, language string")
+    edits = {r.path: r.edits for r in checked_files(df, ext).collect()}
+    each = sum(p.cost for p in syntax.problems("javascript", units[0].encode()))
+    assert each > 1 and edits == {p: each * len(u) for p, u in files.items()}
+
+
+@pytest.mark.parametrize(("language", "before", "after"), [("javascript", "let a = [", "];\n"), ("java", "class A { int[] a = {", "}; }\n"), ("c", "int a[] = {", "};\n"), ("python", "a = [", "]\n")])
+def test_edits_of_one_long_unit(language, before, after):
+    items = ["1 2" if k in (100, 7_900) else str(k) for k in range(8_000)]
+    found = syntax.problems(language, (before + ", ".join(items) + after).encode())
+    assert sum(p.cost for p in found) == 2
+
+
+def test_edits_do_not_depend_on_files_before():
+    inner = "try (0 * a * 0; A b = \"x\";) { f(); }"
+    short = f"class A {{ void f() {{ {inner.replace('0 * a * 0', '0')} }} }}\n"
+    broken = "class A { void f() { if (b) { int c = (0 * a * 0; A d = \"x\"; } } }\n"
+    costs = []
+    for before in ([], [short], [f"class A {{ void f() {{ {inner} }} }}\n", short, broken]):
+        check = syntax.Checker("java")
+        for text in before:
+            check.quick(text)
+            check.careful(text)
+        costs.append([(p.cost, p.line, p.what) for p in check.careful(broken)])
+    assert costs[0] and costs == [costs[0]] * 3
+
+
+def test_repair_is_exact():
+    grammar = glr.Recogniser("S: a S b | a b | S S | a = S | L ;\nL: a | L , a\n", ["S"], lambda c: frozenset([c]))
+    words, signs = {""}, "ab=;,"
+    for _ in range(9):
+        words |= {w + c for w in words for c in signs if len(w) < 6}
+    valid = [w for w in words if w and grammar.accepts("S", w)]
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    rnd = random.Random(3)
+    for _ in range(60):
+        text = "".join(rnd.choice(signs) for _ in range(rnd.randint(1, 4)))
+        least = min(distance(text, w) for w in valid)
+        assert grammar.repair("S", text, 2) == (least if least < 3 else None), text
