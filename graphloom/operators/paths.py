@@ -1,7 +1,8 @@
-"""Per-source path queries as level-by-level DataFrames: betweenness, change propagation, cut points.
+"""Per-source path queries: betweenness, change propagation, cut points.
 
-State is keyed by (source, node), so sources spread over the cluster and no adjacency is broadcast. The
-number of rounds is the longest shortest path. The state of all sources together is what the
+Betweenness of a graph that a task can hold comes from ``sums``. Otherwise queries are level-by-level DataFrames with
+state keyed by (source, node), so sources spread over the cluster and no adjacency is broadcast; the
+number of rounds is then the longest shortest path. The state of all sources together is what the
 definition asks for (every source counts), so ``sources`` can restrict it where that is wanted.
 """
 
@@ -10,8 +11,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.common import durable
+from graphloom.common import Durable, durable
 from graphloom.operators.iterate import components
+from graphloom.operators.sums import path_sums
 from graphloom.plans.views import Graph
 
 #: How far a change travels along an edge kind (fixed values).
@@ -21,12 +23,23 @@ PROPAGATION = {"inherits": 0.9, "implements": 0.85, "overrides": 0.8, "contains"
 def betweenness(nodes: DataFrame, edges: DataFrame, sources: DataFrame | None = None) -> DataFrame:
     """(id, value): shortest-path betweenness, directed, parallel edges multiply path counts, divided by (n-1)(n-2).
 
-    Forward: levels of (source, node, paths). Backward: dependencies from the deepest level up.
+    All sources in blocks (see ``sums``), or level by level if the graph is too large for that.
     """
     links = durable(edges.where("src <> dst").groupBy("src", "dst").agg(F.count("*").cast("double").alias("m")))
     starts = links.df.select(F.col("src").alias("s")).distinct()
     if sources is not None:
         starts = starts.join(sources.select(F.col("id").alias("s")), "s", "left_semi")
+    started = links.df.withColumn("start", F.lit(True)) if sources is None else links.df.join(starts.select(F.col("s").alias("src"), F.lit(True).alias("start")), "src", "left").withColumn("start", F.coalesce("start", F.lit(False)))
+    sums = path_sums(durable(started).df)
+    if sums is None:
+        sums = _sums_by_level(links, starts)
+    n = nodes.count()
+    scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 1.0
+    return nodes.select("id").join(sums.select("id", "d"), "id", "left").select("id", (F.coalesce("d", F.lit(0.0)) * scale).alias("value"))
+
+
+def _sums_by_level(links: Durable, starts: DataFrame) -> DataFrame:
+    """(id, d): dependencies of the sources (s) on each node. Forward: levels of (source, node, paths). Backward: from the deepest level up."""
     front = durable(starts.select("s", F.col("s").alias("v"), F.lit(1.0).alias("paths")))
     seen = durable(front.df.select("s", "v"))
     levels = [front]
@@ -49,12 +62,9 @@ def betweenness(nodes: DataFrame, edges: DataFrame, sources: DataFrame | None =
         below = durable(here)
         part = below.df.groupBy("v").agg(F.sum("dep").alias("dep"))
         total = part if total is None else total.unionByName(part)
-    n = nodes.count()
-    scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 1.0
     if total is None:
-        return nodes.select("id", F.lit(0.0).alias("value"))
-    sums = total.groupBy(F.col("v").alias("id")).agg(F.sum("dep").alias("d"))
-    return nodes.select("id").join(sums, "id", "left").select("id", (F.coalesce("d", F.lit(0.0)) * scale).alias("value"))
+        return starts.select(F.col("s").alias("id"), F.lit(0.0).alias("d"))
+    return total.groupBy(F.col("v").alias("id")).agg(F.sum("dep").alias("d"))
 
 
 def change_propagation(g: Graph, cutoff: float = 0.05) -> DataFrame:
