@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.common import durable, lookup
+from graphloom.operators.sums import path_sums
 from graphloom.plans.views import Graph
 
 
@@ -194,9 +195,19 @@ def unreachable(g: Graph, starts: DataFrame | None = None) -> DataFrame:
     return g.symbols.where(F.lit(any_start) & (F.col("category") != "module")).join(seen, "id", "left_anti").select("id", "kind").orderBy("id")
 
 
+def reachers(links: DataFrame) -> DataFrame:
+    """(id, transitive): how many other nodes reach a node, where any does; by blocks of sources (see ``sums``) or, in a large graph, the closure."""
+    simple = durable(links.where("src <> dst").select("src", "dst", F.lit(1.0).alias("m"), F.lit(True).alias("start")).distinct()).df
+    sums = path_sums(simple, paths=False)
+    if sums is not None:
+        return sums.select("id", F.col("reachers").alias("transitive"))
+    pairs = closure(simple).where("src <> dst")
+    return pairs.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("transitive"))
+
+
 def transitive_fan_in(g: Graph) -> DataFrame:
     """(id, fan_in, transitive): distinct nodes that reach a symbol, where they are more than its edges in."""
-    pairs = closure(g.uses.where("src <> dst")).where("src <> dst")
-    n = pairs.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("transitive"))
-    rows = g.fans().select("id", "fan_in").join(n, "id").where("fan_in > 0 AND transitive > fan_in")
+    uses = durable(g.uses.select("src", "dst")).df
+    fan_in = uses.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("fan_in"))
+    rows = fan_in.join(reachers(uses), "id").where(F.col("transitive") > F.col("fan_in"))
     return rows.orderBy(F.col("transitive").desc(), "id")

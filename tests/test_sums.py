@@ -3,7 +3,8 @@ import random
 from pyspark.sql import functions as F
 
 from graphloom.common import durable
-from graphloom.operators import paths, sums
+from graphloom.operators import iterate, paths, sums
+from tests.test_graph import graph
 
 
 def counted_writes(monkeypatch, *modules):
@@ -46,3 +47,17 @@ def test_betweenness_of_a_chain_takes_no_rounds(spark, monkeypatch):
     got = {r.id: round(r.value * 12 * 11) for r in paths.betweenness(nodes, e).collect()}
     assert got == {f"c{k:02d}": k * (12 - k) for k in range(13)}
     assert len(written) < 8
+
+
+def test_fan_in_equals_closure(spark, monkeypatch):
+    g = graph(spark, random_links(9, 20, 30) + [("n1", "n2")] * 3)
+    got = [tuple(r) for r in iterate.transitive_fan_in(g).collect()]
+    monkeypatch.setattr(sums, "MOST_LINKS", 10)
+    assert [tuple(r) for r in iterate.transitive_fan_in(g).collect()] == got and got
+
+
+def test_fan_in_of_a_chain_takes_no_rounds(spark, monkeypatch):
+    g = graph(spark, [(f"c{k:02d}", f"c{k + 1:02d}") for k in range(12)])
+    written = counted_writes(monkeypatch, iterate, sums)
+    assert {r.id: r.transitive for r in iterate.transitive_fan_in(g).collect()} == {f"c{k:02d}": k for k in range(2, 13)}
+    assert len(written) < 8
