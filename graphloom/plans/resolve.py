@@ -56,6 +56,26 @@ def path_distance(a: Column, b: Column) -> Column:
     return F.size(x) + F.size(y) - 2 * common
 
 
+def _folders_above(folder: Column) -> Column:
+    """(depth, above) of a folder, of those around it and of the root."""
+    parts = F.filter(F.split(folder, "/"), lambda p: (p != "") & (p != "."))
+    return F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.struct((F.size(parts) - k).alias("steps"), F.array_join(F.slice(parts, 1, k), "/").alias("above")))
+
+
+def _nearest_by_folders(rest: DataFrame, names: DataFrame) -> DataFrame:
+    """(file_path, name, gid): the definition of a name fewest folders away, ties to the smaller id. ``rest`` has home, ``names`` there.
+
+    Of a name the least steps down are kept at each folder over a definition, so that a reference looks at the folders over its own,
+    never at all definitions of its name; the steps over a common folder are never too few, and over the last one they are right.
+    """
+    below = names.select("name", "gid", F.inline(_folders_above(folder_of(F.col("there")))))
+    below = below.groupBy("name", "above").agg(F.min(F.struct("steps", "gid")).alias("down"))
+    up = rest.select("name", "home").distinct().select("name", "home", F.inline(_folders_above(F.col("home"))))
+    way = up.join(below, ["name", "above"]).select("name", "home", F.struct((F.col("steps") + F.col("down.steps")).alias("far"), F.col("down.gid").alias("gid")).alias("way"))
+    nearest = way.groupBy("name", "home").agg(F.min("way")["gid"].alias("gid"))
+    return rest.select("file_path", "name", "home").join(nearest, ["name", "home"]).select("file_path", "name", "gid")
+
+
 def nearest_definitions(references: DataFrame, symbols: DataFrame, imports: DataFrame | None = None) -> DataFrame:
     """(file_path, name, target, resolved): what each referenced name (file_path, name) stands for.
 
@@ -74,15 +94,18 @@ def nearest_definitions(references: DataFrame, symbols: DataFrame, imports: Data
     else:
         last = imports.groupBy("file_path", "name").agg(F.max(F.struct("ord", "module"))["module"].alias("module"))
         rest = rest.join(last, ["file_path", "name"], "left")
-    home = folder_of(F.col("file_path"))
-    relative = F.col("module").startswith(".")
     plain = F.regexp_replace(F.regexp_replace("module", r"^[./]+", ""), r"[.]", "/")
-    rows = rest.join(names, "name").withColumn("plain", plain).withColumn("home", home)
-    inside = F.instr("there", F.col("plain")) > 0
-    near = inside & (relative & (folder_of(F.col("there")) == F.col("home")) | ~relative & F.col("there").startswith(F.concat(F.split("home", "/")[0], F.lit("/"))))
-    tier = F.when(F.col("module").isNull() | (F.col("plain") == ""), 2).when(near, 0).when(inside, 1).otherwise(2)
-    rows = rows.withColumn("tier", tier).withColumn("far", path_distance(F.col("home"), folder_of(F.col("there"))))
-    best = rows.groupBy("file_path", "name").agg(F.min(F.struct("tier", "far", "gid"))["gid"].alias("gid"))
+    rest = rest.withColumn("plain", plain).withColumn("home", folder_of(F.col("file_path")))
+    free = F.col("module").isNull() | (F.col("plain") == "")
+    best = _nearest_by_folders(rest.where(free), names)
+    if imports is not None:
+        relative = F.col("module").startswith(".")
+        rows = rest.where(~free).join(names, "name")
+        inside = F.instr("there", F.col("plain")) > 0
+        near = inside & (relative & (folder_of(F.col("there")) == F.col("home")) | ~relative & F.col("there").startswith(F.concat(F.split("home", "/")[0], F.lit("/"))))
+        tier = F.when(near, 0).when(inside, 1).otherwise(2)
+        rows = rows.withColumn("tier", tier).withColumn("far", path_distance(F.col("home"), folder_of(F.col("there"))))
+        best = best.unionByName(rows.groupBy("file_path", "name").agg(F.min(F.struct("tier", "far", "gid"))["gid"].alias("gid")))
     found = hit.select("file_path", "name", "gid").unionByName(best)
     return refs.join(found, ["file_path", "name"], "left").select("file_path", "name", F.coalesce("gid", F.concat_ws("::", "file_path", "name")).alias("target"), F.col("gid").isNotNull().alias("resolved"))
 

@@ -146,3 +146,23 @@ def test_sinks(spark, tmp_path):
     assert not list(tmp_path.iterdir())
     page = reports.html_page(spark.createDataFrame([("</script>",)], "id string"), spark.createDataFrame([], "src string, dst string"))
     assert page.count("</script>") == 1
+
+
+def test_nearest_definition_without_pairs(spark, monkeypatch):
+    import random
+
+    rnd = random.Random(2)
+    folders = ["", "a", "a/b", "a/b/c", "a/d", "e", "e//b", "./a", "e/b/c/d"]
+    place = lambda k: (rnd.choice(folders) + f"/f{k}.go").lstrip("/")
+    syms = spark.createDataFrame([(f"g{rnd.randrange(10**6):06d}", place(k), rnd.choice("xyz"), None, k) for k in range(25)], "gid string, file_path string, name string, scoped_name string, ord long").cache()
+    refs = spark.createDataFrame([(place(100 + k), rnd.choice("xyzw")) for k in range(40)], "file_path string, name string").distinct().cache()
+    pairs = refs.join(syms.select("name", "gid", F.col("file_path").alias("there")), "name")
+    far = resolve.path_distance(resolve.folder_of(F.col("file_path")), resolve.folder_of(F.col("there")))
+    want = {(r.file_path, r.name): r.gid for r in pairs.groupBy("file_path", "name").agg(F.min(F.struct(far.alias("far"), "gid"))["gid"].alias("gid")).collect()}
+
+    def fail(*_):
+        raise AssertionError("every definition of a name was looked at")
+
+    monkeypatch.setattr(resolve, "path_distance", fail)
+    got = {(r.file_path, r.name): r.target for r in resolve.nearest_definitions(refs, syms).where("resolved").collect()}
+    assert got == want and len(set(want.values())) > 5
