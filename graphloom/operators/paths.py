@@ -8,6 +8,8 @@ definition asks for (every source counts), so ``sources`` can restrict it where
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ from graphloom.operators.iterate import components
 from graphloom.operators.sums import path_sums
 from graphloom.plans.views import Graph
 
+#: Undirected links that one task searches for cut points.
+ONE_TASK = 1 << 21
 #: How far a change travels along an edge kind (fixed values).
 PROPAGATION = {"inherits": 0.9, "implements": 0.85, "overrides": 0.8, "contains": 0.7, "calls": 0.5, "references": 0.3, "decorates": 0.2}
 
@@ -91,9 +95,9 @@ def change_propagation(g: Graph, cutoff: float = 0.05) -> DataFrame:
 def articulation_points(g: Graph, smallest: int = 5, local: bool = False) -> DataFrame:
     """(id, second): cut points of the undirected use graph whose removal leaves a second part of at least ``smallest`` nodes.
 
-    ``second`` is the second largest component of the whole remaining graph (``local``: of the component that was cut). Parts are found from
-    bridges between a node's neighbours: for each candidate (a node of two neighbours or more in its 2-core or with a
-    pendant part) one run of component labelling over the graph without it; candidates run in blocks keyed by (removed node, node).
+    ``second`` is the second largest component of the whole remaining graph (``local``: of the component that was cut). Up to
+    ONE_TASK links one depth-first search finds all parts; beyond, for each candidate (a node of two neighbours or more) one run of
+    component labelling over the graph without it; candidates run in blocks keyed by (removed node, node).
     """
     both = g.uses.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
     edges = durable(both)
@@ -101,6 +105,60 @@ def articulation_points(g: Graph, smallest: int = 5, local: bool = False) -> Dat
     labels = durable(components(ends.select("id"), edges.df))
     sizes = durable(labels.df.groupBy("component").agg(F.count("*").alias("n")))
     # only a component that is large enough to leave two parts is looked into, removed node by removed node
+def _searched(local: bool):
+    """Kernel: (id, second) of the cut points of undirected links, each given once."""
+
+    def run(table: pa.Table) -> pa.Table:
+        names = pa.chunked_array([*table["src"].chunks, *table["dst"].chunks]).combine_chunks().dictionary_encode()
+        ends, n = names.indices.to_numpy(zero_copy_only=False).astype(np.int64), len(names.dictionary)
+        one, two = ends[: len(table)], ends[len(table) :]
+        out, into = np.concatenate([one, two]), np.concatenate([two, one])
+        to = into[np.argsort(out, kind="stable")].tolist()
+        upto = np.cumsum(np.bincount(out, minlength=n)).tolist()
+        at = [0, *upto[:-1]]
+        seen, low, up, size = [-1] * n, [0] * n, [-1] * n, [1] * n
+        cut, most, next_most = [0] * n, [0] * n, [0] * n  # of the parts below a node that hang on it alone: all nodes, the two largest
+        sizes, found, clock = [], [], 0
+        for root in range(n):
+            if seen[root] >= 0:
+                continue
+            seen[root] = low[root] = clock
+            clock += 1
+            members, stack = [root], [root]
+            while stack:
+                v = stack[-1]
+                if at[v] < upto[v]:
+                    w = to[at[v]]
+                    at[v] += 1
+                    if seen[w] < 0:
+                        seen[w] = low[w] = clock
+                        clock += 1
+                        up[w] = v
+                        members.append(w), stack.append(w)
+                    elif w != up[v]:
+                        low[v] = min(low[v], seen[w])
+                    continue
+                stack.pop()
+                p = up[v]
+                if p < 0:
+                    continue
+                size[p] += size[v]
+                low[p] = min(low[p], low[v])
+                if low[v] >= seen[p]:
+                    cut[p] += size[v]
+                    most[p], next_most[p] = sorted((most[p], next_most[p], size[v]))[:0:-1]
+            for v in members:
+                a, b = sorted((most[v], next_most[v], len(members) - 1 - cut[v]))[:0:-1]
+                if b:
+                    found.append((v, a, b, len(sizes)))
+            sizes.append(len(members))
+        top = sorted(range(len(sizes)), key=lambda c: -sizes[c])[:3]
+        second = [b if local else sorted([a, b, *(sizes[c] for c in top if c != own)])[-2] for _, a, b, own in found]
+        return pa.table({"id": names.dictionary.take(pa.array([f[0] for f in found], pa.int64())), "second": pa.array(second, pa.int64())})
+
+    return run
+
+
     wide = sizes.df.where(F.col("n") > (smallest if local else 1))
     cand = durable(ends.where("degree >= 2").join(labels.df, "id").join(wide, "component").select(F.col("id").alias("gone"), "component"))
     placed = edges.df.join(labels.df.withColumnRenamed("id", "src"), "src")
@@ -110,6 +168,9 @@ def articulation_points(g: Graph, smallest: int = 5, local: bool = False) -> Dat
     nodes = labels.df.join(cand.df, "component").where("id <> gone").select(key(F.col("gone"), F.col("id")).alias("id"))
     parts = components(nodes, pairs.df).groupBy(F.substring_index("component", "\x01", 1).alias("gone"), "component").agg(F.count("*").alias("n"))
     ranked = durable(parts.withColumn("r", F.row_number().over(Window.partitionBy("gone").orderBy(F.col("n").desc(), "component"))))
+    if edges.df.count() <= ONE_TASK:
+        rows = edges.df.groupBy(F.lit(0).alias("all")).applyInArrow(_searched(local), "id string, second bigint")
+        return rows.where(F.col("second") >= smallest).orderBy(F.col("second").desc(), "id")
     split = ranked.df.groupBy("gone").agg(F.max(F.when(F.col("r") == 1, F.col("n"))).alias("a"), F.max(F.when(F.col("r") == 2, F.col("n"))).alias("b")).where("b IS NOT NULL")
     if local:
         rows = split.select(F.col("gone").alias("id"), F.col("b").alias("second"))

@@ -61,3 +61,16 @@ def test_fan_in_of_a_chain_takes_no_rounds(spark, monkeypatch):
     written = counted_writes(monkeypatch, iterate, sums)
     assert {r.id: r.transitive for r in iterate.transitive_fan_in(g).collect()} == {f"c{k:02d}": k for k in range(2, 13)}
     assert len(written) < 8
+
+
+def test_cut_points_by_one_search(spark, monkeypatch):
+    g = graph(spark, random_links(3, 40, 36) + [(f"c{k}", f"c{k + 1}") for k in range(6)])
+    got = []
+    for local in (False, True):
+        with monkeypatch.context() as m:
+            written = counted_writes(m, paths, iterate)
+            got.append([tuple(r) for r in paths.articulation_points(g, 1, local).collect()])
+        assert len(written) == 1
+    monkeypatch.setattr(paths, "ONE_TASK", 0)
+    assert [[tuple(r) for r in paths.articulation_points(g, 1, local).collect()] for local in (False, True)] == got
+    assert len(got[0]) > 5 and got[0] != got[1]
