@@ -6,6 +6,9 @@ logarithm (pointer doubling), and each round shuffles only the frontier where th
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +16,9 @@ from graphloom.common import durable, lookup
 from graphloom.operators.sums import path_sums
 from graphloom.plans.views import Graph
 
+#: Nodes and links that one task ranks; larger graphs take a written table a round.
+RANKED = 1 << 19
+
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component): weakly connected components, named by their smallest id.
@@ -117,6 +123,23 @@ def _spread_minimum(edges: DataFrame) -> DataFrame:
             return now.df
 
 
+def _ranked(rounds: int, damping: float):
+    """Kernel: (id, rank) of nodes (w null: src is a node) and weighted links."""
+
+    def run(table: pa.Table) -> pa.Table:
+        is_node = pc.is_null(table["w"])
+        names, links = table.filter(is_node)["src"].combine_chunks(), table.filter(pc.invert(is_node))
+        src, dst = (pc.index_in(links[c], names).to_numpy() for c in ("src", "dst"))
+        w, n = links["w"].to_numpy(), len(names)
+        dangling = np.bincount(src, minlength=n) == 0
+        rank = np.full(n, 1.0 / n)
+        for _ in range(rounds):
+            rank = (1 - damping) / n + damping * rank[dangling].sum() / n + damping * np.bincount(dst, rank[src] * w, n)
+        return pa.table({"id": names, "rank": rank})
+
+    return run
+
+
 def page_rank(nodes: DataFrame, edges: DataFrame, rounds: int = 30, damping: float = 0.85) -> DataFrame:
     """(id, rank) after exactly ``rounds`` rounds; parallel edges count; dangling mass is spread over all nodes."""
     out = edges.groupBy("src").agg(F.count("*").alias("degree"))
@@ -125,6 +148,9 @@ def page_rank(nodes: DataFrame, edges: DataFrame, rounds: int = 30, damping: flo
     n = dangling.df.count()
     if not n:
         return nodes.select("id", F.lit(0.0).alias("rank"))
+    if n + weighted.df.count() <= RANKED:
+        every = dangling.df.select(F.col("id").alias("src"), F.lit(None).cast("string").alias("dst"), F.lit(None).cast("double").alias("w")).unionByName(weighted.df)
+        return every.groupBy(F.lit(0).alias("all")).applyInArrow(_ranked(rounds, damping), "id string, rank double")
     now = durable(dangling.df.select("id", "dangling", F.lit(1.0 / n).alias("rank")))
     for k in range(rounds):
         lost = now.df.where("dangling").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.common import Durable, durable
-from graphloom.operators.iterate import components
+from graphloom.operators.iterate import components, reachers
 from graphloom.operators.sums import path_sums
 from graphloom.plans.views import Graph
 
@@ -37,9 +37,22 @@ def betweenness(nodes: DataFrame, edges: DataFrame, sources: DataFrame | None =
     sums = path_sums(durable(started).df)
     if sums is None:
         sums = _sums_by_level(links, starts)
+    return _scaled(nodes, sums).select("id", "value")
+
+
+def _scaled(nodes: DataFrame, sums: DataFrame) -> DataFrame:
     n = nodes.count()
     scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 1.0
-    return nodes.select("id").join(sums.select("id", "d"), "id", "left").select("id", (F.coalesce("d", F.lit(0.0)) * scale).alias("value"))
+    return nodes.select("id").join(sums, "id", "left").withColumn("value", F.coalesce("d", F.lit(0.0)) * scale)
+
+
+def centrality(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, value, transitive): betweenness, and how many other nodes reach a node, from the same paths. ``links``: distinct src, dst."""
+    simple = durable(links.where("src <> dst").select("src", "dst", F.lit(1.0).alias("m"), F.lit(True).alias("start")))
+    sums = path_sums(simple.df)
+    if sums is None:
+        return betweenness(nodes, links).join(reachers(links), "id", "left").select("id", "value", F.coalesce("transitive", F.lit(0)).alias("transitive"))
+    return _scaled(nodes, sums).select("id", "value", F.coalesce("reachers", F.lit(0)).alias("transitive"))
 
 
 def _sums_by_level(links: Durable, starts: DataFrame) -> DataFrame:
@@ -92,19 +105,6 @@ def change_propagation(g: Graph, cutoff: float = 0.05) -> DataFrame:
     return rows.orderBy(F.col("reached").desc(), "id")
 
 
-def articulation_points(g: Graph, smallest: int = 5, local: bool = False) -> DataFrame:
-    """(id, second): cut points of the undirected use graph whose removal leaves a second part of at least ``smallest`` nodes.
-
-    ``second`` is the second largest component of the whole remaining graph (``local``: of the component that was cut). Up to
-    ONE_TASK links one depth-first search finds all parts; beyond, for each candidate (a node of two neighbours or more) one run of
-    component labelling over the graph without it; candidates run in blocks keyed by (removed node, node).
-    """
-    both = g.uses.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
-    edges = durable(both)
-    ends = edges.df.select("src").unionAll(edges.df.select("dst")).groupBy(F.col("src").alias("id")).agg(F.count("*").alias("degree"))
-    labels = durable(components(ends.select("id"), edges.df))
-    sizes = durable(labels.df.groupBy("component").agg(F.count("*").alias("n")))
-    # only a component that is large enough to leave two parts is looked into, removed node by removed node
 def _searched(local: bool):
     """Kernel: (id, second) of the cut points of undirected links, each given once."""
 
@@ -159,6 +159,22 @@ def _searched(local: bool):
     return run
 
 
+def articulation_points(g: Graph, smallest: int = 5, local: bool = False) -> DataFrame:
+    """(id, second): cut points of the undirected use graph whose removal leaves a second part of at least ``smallest`` nodes.
+
+    ``second`` is the second largest component of the whole remaining graph (``local``: of the component that was cut). Up to
+    ONE_TASK links one depth-first search finds all parts; beyond, for each candidate (a node of two neighbours or more) one run of
+    component labelling over the graph without it; candidates run in blocks keyed by (removed node, node).
+    """
+    both = g.uses.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+    edges = durable(both)
+    if edges.df.count() <= ONE_TASK:
+        rows = edges.df.groupBy(F.lit(0).alias("all")).applyInArrow(_searched(local), "id string, second bigint")
+        return rows.where(F.col("second") >= smallest).orderBy(F.col("second").desc(), "id")
+    ends = edges.df.select("src").unionAll(edges.df.select("dst")).groupBy(F.col("src").alias("id")).agg(F.count("*").alias("degree"))
+    labels = durable(components(ends.select("id"), edges.df))
+    sizes = durable(labels.df.groupBy("component").agg(F.count("*").alias("n")))
+    # only a component that is large enough to leave two parts is looked into, removed node by removed node
     wide = sizes.df.where(F.col("n") > (smallest if local else 1))
     cand = durable(ends.where("degree >= 2").join(labels.df, "id").join(wide, "component").select(F.col("id").alias("gone"), "component"))
     placed = edges.df.join(labels.df.withColumnRenamed("id", "src"), "src")
@@ -168,9 +184,6 @@ def _searched(local: bool):
     nodes = labels.df.join(cand.df, "component").where("id <> gone").select(key(F.col("gone"), F.col("id")).alias("id"))
     parts = components(nodes, pairs.df).groupBy(F.substring_index("component", "\x01", 1).alias("gone"), "component").agg(F.count("*").alias("n"))
     ranked = durable(parts.withColumn("r", F.row_number().over(Window.partitionBy("gone").orderBy(F.col("n").desc(), "component"))))
-    if edges.df.count() <= ONE_TASK:
-        rows = edges.df.groupBy(F.lit(0).alias("all")).applyInArrow(_searched(local), "id string, second bigint")
-        return rows.where(F.col("second") >= smallest).orderBy(F.col("second").desc(), "id")
     split = ranked.df.groupBy("gone").agg(F.max(F.when(F.col("r") == 1, F.col("n"))).alias("a"), F.max(F.when(F.col("r") == 2, F.col("n"))).alias("b")).where("b IS NOT NULL")
     if local:
         rows = split.select(F.col("gone").alias("id"), F.col("b").alias("second"))

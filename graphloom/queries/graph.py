@@ -212,9 +212,7 @@ def hotspots(spark: SparkSession, folder: str) -> DataFrame:
     nodes = durable(g.symbols.select("id")).df
     links = durable(g.uses.select("src", "dst").where("src <> dst").distinct()).df
     rank = iterate.page_rank(nodes, links)
-    between = paths.betweenness(nodes, links)
-    reachers = iterate.closure(links).where("src <> dst").groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("transitive"))
-    shape = rank.join(between, "id").join(reachers, "id", "left").select(F.col("id").alias("path"), F.col("rank").alias("pagerank"), F.col("value").alias("betweenness"), F.coalesce("transitive", F.lit(0)).alias("transitive"))
+    shape = rank.join(paths.centrality(nodes, links), "id").select(F.col("id").alias("path"), F.col("rank").alias("pagerank"), F.col("value").alias("betweenness"), "transitive")
     out = H.hotspots(metrics, shape)
     return out.select("file", *[F.round(c, 6).alias(c) for c in ("history", "structure", "score")])
 

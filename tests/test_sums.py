@@ -63,6 +63,16 @@ def test_fan_in_of_a_chain_takes_no_rounds(spark, monkeypatch):
     assert len(written) < 8
 
 
+def test_centrality_is_betweenness_and_reachers(spark, monkeypatch):
+    e = spark.createDataFrame(sorted(set(random_links(5, 30, 50))), "src string, dst string").cache()
+    nodes = e.select(F.col("src").alias("id")).union(e.select("dst")).distinct()
+    got = {r.id: (round(r.value, 12), r.transitive) for r in paths.centrality(nodes, e).collect()}
+    monkeypatch.setattr(sums, "MOST_LINKS", 10)
+    assert {r.id: (round(r.value, 12), r.transitive) for r in paths.centrality(nodes, e).collect()} == got
+    assert max(t for _, t in got.values()) > 10
+    e.unpersist()
+
+
 def test_cut_points_by_one_search(spark, monkeypatch):
     g = graph(spark, random_links(3, 40, 36) + [(f"c{k}", f"c{k + 1}") for k in range(6)])
     got = []
@@ -74,3 +84,13 @@ def test_cut_points_by_one_search(spark, monkeypatch):
     monkeypatch.setattr(paths, "ONE_TASK", 0)
     assert [[tuple(r) for r in paths.articulation_points(g, 1, local).collect()] for local in (False, True)] == got
     assert len(got[0]) > 5 and got[0] != got[1]
+
+
+def test_rank_by_one_task(spark, monkeypatch):
+    g = graph(spark, random_links(6, 20, 25))
+    written = counted_writes(monkeypatch, iterate)
+    got = {r.id: r.rank for r in iterate.page_rank(g.symbols, g.uses, 6).collect()}
+    assert len(written) == 2
+    monkeypatch.setattr(iterate, "RANKED", 0)
+    want = {r.id: r.rank for r in iterate.page_rank(g.symbols, g.uses, 6).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
